@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, licenses, mix
+from lexmill.llm import decontaminate, exact_dedup, licenses, mix, near_dedup, token_ids, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_warc": warc.op2_warc,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_ids": token_ids.op5_token_ids,
     "op6_mixing": mix.op6_mixing,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_mixing": mix.OP6_SQL,
