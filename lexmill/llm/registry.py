@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, licenses, mix, near_dedup, quality, token_ids, warc
+from lexmill.llm import decontaminate, exact_dedup, licenses, mix, near_dedup, quality, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_ids": token_ids.op5_token_ids,
     "op6_mixing": mix.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
