@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, exact_dedup, licenses, mix, near_dedup, quality, token_ids, toxicity, warc
+from lexmill.llm import decontaminate, exact_dedup, licenses, line_dedup, mix, near_dedup, quality, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
