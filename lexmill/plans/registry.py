@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lexmill.plans import aggregates, functions, relational
+from lexmill.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "aggregates", "functions", "relational"]
