@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import aggregates, functions, relational
+from lexmill.plans import aggregates, classify, entities, functions, merging, relational
 from lexmill.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "functions", "relational"]
+__all__ = ["QUERIES", "SQL", "aggregates", "classify", "entities", "functions", "merging", "relational"]

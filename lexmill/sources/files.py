@@ -47,3 +47,9 @@ def upsert_parquet(spark: SparkSession, path: str, batch: DataFrame, keys: list[
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(hadoop(f"{path}/current"), True)
     fs.rename(hadoop(side), hadoop(f"{path}/current"))
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written and read back: cuts the lineage."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
