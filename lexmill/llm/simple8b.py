@@ -16,53 +16,61 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
 _COUNTS = np.ones(16, np.int64)
 _COUNTS[: len(WIDTHS)] = [60 // w for w in WIDTHS]
-_POWERS = np.uint64(1) << np.arange(32, dtype=np.uint64)
+_POWERS = np.uint32(1) << np.arange(32, dtype=np.uint32)
+_SMALL = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint32), "right").astype(np.uint8)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    if ids.max() < len(_SMALL):
+        return _SMALL[ids]
+    return np.searchsorted(_POWERS, ids, "right").astype(np.uint8)
 
 
 def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each block) of ids below 2**32."""
-    ids = ids.astype(np.uint64)
+    """(words, first word of each block) of uint32 ids."""
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    bits = np.searchsorted(_POWERS, ids, "right")
-    at = np.arange(n)
-    ends = np.minimum((at // block + 1) * block, n)
-    selector = np.full(n, ESCAPE, np.int8)
-    after = at + 1
-    open_ = np.ones(n, bool)
-    for s, w in enumerate(WIDTHS):
-        wide = np.where(bits > w, at, n)
-        first_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        end = np.minimum(at + 60 // w, ends)
-        fits = open_ & (first_wide >= end)
-        selector[fits], after[fits] = s, end[fits]
-        open_ &= ~fits
-        if not open_.any():
+    # one row a block, with zeros after its end: they fit any width
+    blocks, longest = -(-n // block), int(_COUNTS.max())
+    flat = np.zeros(blocks * block, np.uint32)
+    flat[:n] = ids
+    rows = np.zeros((blocks, block + longest), np.uint32)
+    rows[:, :block] = flat.reshape(blocks, block)
+    bits = _bits(rows.ravel()).reshape(rows.shape)
+    widest = bits[:, :block].copy()
+    selector = np.full((blocks, block), ESCAPE, np.uint8)
+    k = 1
+    for s in range(len(WIDTHS) - 1, -1, -1):
+        # what fits as many ids also fits fewer, so the last selector that fits is the best
+        while k < 60 // WIDTHS[s]:
+            np.maximum(widest, bits[:, k : k + block], out=widest)
+            k += 1
+        fits = widest <= WIDTHS[s]
+        if not fits.any():
             break
+        selector[fits] = s
     # follow the words of all blocks side by side
-    cur, steps = np.arange(0, n, block), []
-    stop = ends[cur]
-    while len(cur):
-        steps.append(cur)
-        cur = after[cur]
-        more = cur < stop
-        cur, stop = cur[more], stop[more]
+    lens = np.full(blocks, block)
+    lens[-1] = n - (blocks - 1) * block
+    at, of, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    while len(of):
+        steps.append(of * block + at)
+        at = at + _COUNTS[selector[of, at]]
+        more = at < lens[of]
+        at, of = at[more], of[more]
     starts = np.sort(np.concatenate(steps))
+    chosen = selector.ravel()[starts]
+    padded, place = rows.ravel(), starts + starts // block * longest
     words = np.empty(len(starts), np.uint64)
-    chosen = selector[starts]
     for s in np.unique(chosen):
         here = np.flatnonzero(chosen == s)
-        p = starts[here]
-        word = np.full(len(p), np.uint64(s) << np.uint64(60))
-        if s == ESCAPE:
-            word |= ids[p]
-        else:
-            w = WIDTHS[s]
-            for j in range(60 // w):
-                inside = p + j < ends[p]
-                word[inside] |= ids[p[inside] + j] << np.uint64(w * j)
-        words[here] = word
+        p = place[here]
+        word = padded[p].astype(np.uint64)
+        if s != ESCAPE:
+            for j in range(1, 60 // WIDTHS[s]):
+                word |= padded[p + j].astype(np.uint64) << np.uint64(WIDTHS[s] * j)
+        words[here] = word | (np.uint64(s) << np.uint64(60))
     return words, np.searchsorted(starts, np.arange(0, n, block))
 
 

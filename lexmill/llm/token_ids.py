@@ -20,9 +20,9 @@ writes no segments and reads back as no rows.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +35,20 @@ from lexmill.llm.common import Workspace, table
 
 SCHEMA = "shard int, segment int, first long, doc_ids array<long>, lens array<long>, n_ids long, block int, offsets array<long>, words binary"
 _MAX_WORDS = 1_000_000
-#: Letters that are one code point in any normal form, and a mark that the tokenizer splits off.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that are one code point in any normal form, and marks that the tokenizer splits off.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\]^_{}~]*)")
 
 
 class WordIds(dict):
-    """A stretch between blanks -> its ids; emptied when it gets large."""
+    """A stretch between blanks -> its ids as bytes; emptied when it gets large."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: tuple(self.encode(m)) for m in ("", ".", ",")}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         # the tokenizer's alphabet for bytes: printable ones stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -56,16 +57,26 @@ class WordIds(dict):
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def stem(self, word: str) -> bytes:
+        plain = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+        out = self.stems[word] = array("I", [x.id for x in self.tokenizer.model.tokenize(plain)]).tobytes()
+        return out
+
+    def mark(self, marks: str) -> bytes:
+        out = self.marks[marks] = array("I", self.encode(marks)).tobytes()
+        return out
+
+    def __missing__(self, stretch: str) -> bytes:
         if len(self) >= _MAX_WORDS:
-            self.clear()
+            for d in (self, self.stems, self.marks):
+                d.clear()
         if m := _PLAIN.fullmatch(stretch):
-            word = m[1].lower()
-            if not word.isascii():
-                word = "".join(self.alphabet[b] for b in word.encode())
-            ids = (*(x.id for x in self.tokenizer.model.tokenize(word)), *self.marks[m[2]])
+            word, marks = m[1].lower(), m[2]
+            ids = self.stems.get(word) or self.stem(word)
+            if marks:
+                ids += self.marks.get(marks) or self.mark(marks)
         else:
-            ids = tuple(self.encode(stretch))
+            ids = array("I", self.encode(stretch)).tobytes()
         self[stretch] = ids
         return ids
 
@@ -81,7 +92,7 @@ def text_ids(text: str | None, words: WordIds | None, encode, end_id: int) -> np
     if words is None or "<|" in text:
         return np.array([*encode(text), end_id], np.uint32)
     parts = text.replace("\n", " ").split(" ")
-    return np.fromiter(itertools.chain(itertools.chain.from_iterable(map(words.__getitem__, parts)), (end_id,)), np.uint32)
+    return np.frombuffer(b"".join([*map(words.__getitem__, parts), array("I", (end_id,)).tobytes()]), np.uint32)
 
 
 def _writer(path: str, end_id: int, by_word: bool, segment_ids: int, block: int):
