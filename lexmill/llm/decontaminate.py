@@ -74,14 +74,16 @@ def _inline_hits(windows: DataFrame) -> Column:
 NO_HITS = "cast(array() as array<struct<pos:int,len:int,gram:string>>)"
 
 
+def _places(n: int) -> Column:
+    """Every window of n words of column ``w``."""
+    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+
+
 def _joined_hits(words: DataFrame, windows: DataFrame, ws: Workspace) -> DataFrame:
     """For windows too many to send with the tasks: (rid, pos, len, gram) by a shuffled join."""
-    words = ws.save(words, "words")
     hits = None
     for r in windows.select("len").distinct().collect():  # at most n lengths
-        n = r["len"]
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-        one = words.where(F.size("w") >= n).select("rid", F.explode(at).alias("x")).select("rid", "x.*")
+        one = words.where(F.size("w") >= r["len"]).select("rid", F.explode(_places(r["len"])).alias("x")).select("rid", "x.*")
         hits = one if hits is None else hits.unionByName(one)
     return hits.join(windows.select("len", "gram").distinct(), ["len", "gram"], "left_semi")
 

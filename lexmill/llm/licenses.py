@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import free_name, table
+from lexmill.llm.common import table
 
 # Equivalent spellings, as (pattern on folded words, replacement).
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("analogue", "analog"), ("judgement", "judgment"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https", "http"))
@@ -92,10 +92,11 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.select("doc_id", F.sha2(form, 256).alias("canon_sha256"), F.transform(lines, lambda x: F.sha2(_folded(x), 256)).alias("lines"))
     whole = rows.join(known.withColumnRenamed("k", "canon_sha256"), "canon_sha256", "left")
     if n_known > max_broadcast:
-        by = free_name(whole, "rid")
-        whole = whole.withColumn(by, F.monotonically_increasing_id())
-        found = whole.select(by, F.explode(F.array_distinct("lines")).alias("k")).join(known.select("k", F.col("license_id").alias("n")), "k").groupBy(by).agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("notices"))
-        return whole.join(found, by, "left").select("doc_id", "canon_sha256", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+        # what is quoted depends on the lines alone, so they are the key
+        whole = whole.withColumn("by", F.sha2(F.array_join("lines", ","), 256))
+        quoted = whole.where(F.size("lines") > 0).select("by", "lines").dropDuplicates(["by"]).select("by", F.explode(F.array_distinct("lines")).alias("k"))
+        found = quoted.join(known.select("k", F.col("license_id").alias("n")), "k").groupBy("by").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("notices"))
+        return whole.join(found, "by", "left").select("doc_id", "canon_sha256", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
     pairs = [x for r in known.collect() for x in (F.lit(r["k"]), F.lit(r["license_id"]))]
     ids = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
     named = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: F.try_element_at(ids, x)), lambda x: x.isNotNull())))

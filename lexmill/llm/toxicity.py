@@ -115,7 +115,7 @@ def worst(net: bigru.Net, table: np.ndarray, at: np.ndarray, lens: np.ndarray) -
     return logits[best], np.where(np.arange(bigru.WINDOW) < n[best][:, None], rows, 0), n[best]
 
 
-def learn(texts: list[str], y: np.ndarray, rounds: int = 10, rate: float = 0.01, batch: int = 128, vocabulary: int = 4096, least: int = 4, seed: int = 5) -> bigru.Net:
+def learn(texts: list[str], y: np.ndarray, steps: int = 260, rate: float = 0.01, batch: int = 128, vocabulary: int = 4096, least: int = 4, seed: int = 5) -> bigru.Net:
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
@@ -146,8 +146,9 @@ def learn(texts: list[str], y: np.ndarray, rounds: int = 10, rate: float = 0.01,
     lens = np.array([len(d) for d in docs], np.int64)
     weight = np.where(y == 1, min(4.0, n_neg / n_pos), 1.0).astype(np.float32)
     adam = bigru.Adam(rate)
-    for k in range(rounds):
-        if k % 2 == 0:
+    per_round = -(-len(y) // batch)
+    for k in range(-(-steps // per_round)):
+        if k % max(1, 24 // per_round) == 0:
             _, rows, n = worst(net, net.projected(net.inputs(*lookup)), at, lens)
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
