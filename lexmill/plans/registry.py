@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import aggregates, classify, entities, functions, merging, relational, search, streaming
+from lexmill.plans import aggregates, classify, entities, extra, functions, merging, relational, search, streaming
 from lexmill.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "classify", "entities", "functions", "merging", "relational", "search", "streaming"]
+__all__ = ["QUERIES", "SQL", "aggregates", "classify", "entities", "extra", "functions", "merging", "relational", "search", "streaming"]
