@@ -71,11 +71,11 @@ def smoothed_density(df: DataFrame, hits: str, volume: str, prior: float = 1000.
 
 
 def kolmogorov_smirnov(df: DataFrame, value: str, side: str, keys: list[str]) -> DataFrame:
-    """The two-sample statistic of the values with ``side`` true and false, per key."""
+    """The two-sample statistic of the values with ``side`` true and false, per key; null if a sample is empty."""
     per = df.groupBy(*keys, value).agg(F.sum(F.col(side).cast("long")).alias("a"), F.sum((~F.col(side)).cast("long")).alias("b"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     upto = w.orderBy(value)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(w) - F.sum("b").over(upto) / F.sum("b").over(w))
+    gap = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(w)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(w)))
     return per.withColumn("gap", gap).groupBy(*keys).agg(F.round(F.max("gap"), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
@@ -84,4 +84,4 @@ def roc_auc(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     w = Window.orderBy(F.desc(score), tie)
     d = df.select(F.col(label).cast("long").alias("y"), F.sum(F.col(label).cast("long")).over(w).alias("tp"), score, tie)
     # with one row a step, a negative adds a rectangle as high as the positives before it
-    return d.agg((F.sum(F.when(F.col("y") == 0, F.col("tp"))) / (F.sum("y") * F.sum(1 - F.col("y")))).alias("auc"))
+    return d.agg(F.try_divide(F.sum(F.when(F.col("y") == 0, F.col("tp"))), F.sum("y") * F.sum(1 - F.col("y"))).alias("auc"))

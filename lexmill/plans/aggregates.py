@@ -279,7 +279,7 @@ def a33(spark, sf):
     return scored(spark, sf).groupBy(p.alias("predicted"), F.col("quality").alias("actual")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(p == F.col("quality"), 1.0).otherwise(0.0)), 6).alias("agreement"))
 
 
-@query("a34_ks", f"WITH v AS (SELECT lang, score, sum((quality = 1)::INT) AS a, sum((quality = 0)::INT) AS b FROM {SCORED} GROUP BY 1, 2), g AS (SELECT lang, a, b, abs(sum(a) OVER (PARTITION BY lang ORDER BY score) / sum(a) OVER (PARTITION BY lang) - sum(b) OVER (PARTITION BY lang ORDER BY score) / sum(b) OVER (PARTITION BY lang)) AS gap FROM v) SELECT lang, round(max(gap), 6) AS ks, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b FROM g GROUP BY 1")
+@query("a34_ks", f"WITH v AS (SELECT lang, score, sum((quality = 1)::INT) AS a, sum((quality = 0)::INT) AS b FROM {SCORED} GROUP BY 1, 2), g AS (SELECT lang, a, b, abs(sum(a) OVER (PARTITION BY lang ORDER BY score) / nullif(sum(a) OVER (PARTITION BY lang), 0) - sum(b) OVER (PARTITION BY lang ORDER BY score) / nullif(sum(b) OVER (PARTITION BY lang), 0)) AS gap FROM v) SELECT lang, round(max(gap), 6) AS ks, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b FROM g GROUP BY 1")
 def a34(spark, sf):
     return agg.kolmogorov_smirnov(scored(spark, sf).withColumn("good", F.col("quality") == 1), "score", "good", ["lang"])
 
