@@ -72,3 +72,19 @@ class Workspace:
 
     def close(self) -> None:
         self._delete(self.root)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row per key and how many rows the key has in ``count``.
+
+    A key with more than its share of a task, total / (2 * partitions), is
+    joined by broadcast: there are at most 2 * partitions of those, whatever
+    the data. The others are shuffled, so no task gets more than a small
+    multiple of its share.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, total // (2 * parts))
+    hot, cold = groups.where(F.col(count) > share), groups.where(F.col(count) <= share)
+    many = rows.join(F.broadcast(hot), keys)
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return many.unionByName(few)

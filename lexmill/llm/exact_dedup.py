@@ -7,7 +7,8 @@ shuffle, by digest. All of it is DataFrame functions.
 
 The filter has ``bits_per_row`` bits a row up to ``max_filter_bytes``, so what
 is broadcast has a fixed bound; a filter at the bound lets more rows shuffle
-but never changes a result.
+but never changes a result. A digest that many rows share is joined to its
+group by broadcast, so its rows do not meet in one task.
 
 Edge cases: null text counts as empty. A null id sorts below all others. Rows
 with the same text and the same largest id are one document repeated: each is
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, free_name
+from lexmill.llm.common import Workspace, free_name, join_groups
 
 #: Bits in a block of the filter, which is what bitmap_construct_agg packs in a row.
 BLOCK_BITS = 32768
@@ -67,32 +68,33 @@ def maybe_repeated(df: DataFrame, digest: str, filter_: DataFrame, blocks: int,
     return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(block, bitmap)
 
 
-def _filter_of(digests: DataFrame, ws: Workspace, bits_per_row: int, max_filter_bytes: int) -> tuple[DataFrame, int]:
-    blocks = blocks_for(digests.count(), bits_per_row, max_filter_bytes)
-    return ws.save(repeated_bits(digests, "text_sha256", blocks), "filter"), blocks
+def _filter_of(digests: DataFrame, ws: Workspace, bits_per_row: int, max_filter_bytes: int) -> tuple[DataFrame, int, int]:
+    total = digests.count()
+    blocks = blocks_for(total, bits_per_row, max_filter_bytes)
+    return ws.save(repeated_bits(digests, "text_sha256", blocks), "filter"), blocks, total
 
 
 def decisions(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256."""
     rows = ws.save(df.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
-    filter_, blocks = _filter_of(rows, ws, bits_per_row, max_filter_bytes)
+    filter_, blocks, total = _filter_of(rows, ws, bits_per_row, max_filter_bytes)
     probed = maybe_repeated(rows, "text_sha256", filter_, blocks, "maybe")
     alone = probed.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = probed.where("maybe").select("doc_id", "text_sha256")
-    groups = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = ws.save(some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    joined = join_groups(some, groups, ["text_sha256"], "group_size", total).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 
 
 def exact_dedup(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     digest, flag = free_name(df, "__digest"), free_name(df, "__maybe")
-    filter_, blocks = _filter_of(df.select(text_digest(F.col(text_col)).alias("text_sha256")), ws, bits_per_row, max_filter_bytes)
+    filter_, blocks, total = _filter_of(df.select(text_digest(F.col(text_col)).alias("text_sha256")), ws, bits_per_row, max_filter_bytes)
     probed = maybe_repeated(df.withColumn(digest, text_digest(F.col(text_col))), digest, filter_, blocks, flag)
     some = probed.where(flag)
-    best = free_name(df, "__keep")
-    groups = some.groupBy(digest).agg(F.max(id_col).alias(best))
-    stays = some.join(groups, digest).where(F.col(id_col).eqNullSafe(F.col(best))).dropDuplicates([digest])
+    best, n = free_name(df, "__keep"), free_name(df, "__n")
+    groups = ws.save(some.groupBy(digest).agg(F.max(id_col).alias(best), F.count("*").alias(n)), "groups")
+    stays = join_groups(some, groups, [digest], n, total).where(F.col(id_col).eqNullSafe(F.col(best))).dropDuplicates([digest])
     return probed.where(~F.col(flag)).select(*df.columns).unionByName(stays.select(*df.columns))
 
 
