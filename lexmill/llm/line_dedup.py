@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexmill.llm.common import Workspace, free_name, table
+from lexmill.llm.common import Workspace, free_name, join_groups, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 LINES = "rid long, doc_id {id}, d64 long, lines array<struct<i:int,h1:long,h2:long,fwd:int,fwd_to:int,bwd:int,bwd_from:int,no:int>>"
@@ -72,14 +72,14 @@ def _lines(min_words: int):
     return run
 
 
-def _ranked(rows: DataFrame, a: str, b: str, ws: Workspace, level: int) -> DataFrame:
-    """``rows`` whose (a, b) occurs more than once, with its rank in place of both."""
+def _ranked(rows: DataFrame, a: str, b: str, ws: Workspace, level: int, total: int) -> DataFrame:
+    """``rows``, at most ``total``, whose (a, b) occurs more than once, with its rank in place of both."""
     spark = rows.sparkSession
-    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
+    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # row ids rise from one range of sorted pairs to the next, so they are ranks
     ranks = ws.save(pairs.repartitionByRange(parts, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), f"ranks{level}")
-    out = ws.save(rows.join(ranks, [a, b]).drop(a, b), f"level{level}")
+    out = ws.save(join_groups(rows, ranks, [a, b], "n", total).drop(a, b, "n"), f"level{level}")
     ws.drop(f"ranks{level}")
     return out
 
@@ -90,7 +90,8 @@ def copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
     id_type = d.schema["doc_id"].dataType.simpleString()
     lines = ws.save(d.mapInPandas(_lines(min_words), LINES.format(id=id_type)), "lines")
     flat = lines.select("rid", "doc_id", "d64", F.explode("lines").alias("l")).select("rid", "doc_id", "d64", "l.*")
-    first = _ranked(flat, "h1", "h2", ws, 0)
+    total = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    first = _ranked(flat, "h1", "h2", ws, 0, total)
     ws.drop("lines")
     deepest = first.agg(F.max(F.greatest("fwd", "bwd"))).first()[0] or 0
     levels = [first.select(F.lit(0).alias("k"), "rid", "i", "rank")]
@@ -100,7 +101,7 @@ def copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
         at = Window.partitionBy("rid").orderBy("i").rangeBetween(step, step)
         pairs = levels[-1].select("rid", "i", F.col("rank").alias("r1"), F.first("rank").over(at).alias("r2")).where(F.col("r2").isNotNull())
         k += 1
-        levels.append(_ranked(pairs, "r1", "r2", ws, k).select(F.lit(k).alias("k"), "rid", "i", "rank"))
+        levels.append(_ranked(pairs, "r1", "r2", ws, k, levels[-1].count()).select(F.lit(k).alias("k"), "rid", "i", "rank"))
 
     fwd = first.where("fwd > 0").select("rid", "doc_id", "d64", F.col("i").alias("s"), F.col("fwd").alias("m"), F.col("no").alias("from"), F.col("fwd_to").alias("to"))
     bwd = first.where("bwd > 0").select("rid", "doc_id", "d64", (F.col("i") - F.col("bwd") + 1).alias("s"), F.col("bwd").alias("m"), F.col("bwd_from").alias("from"), F.col("no").alias("to"))
@@ -112,8 +113,8 @@ def copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
     runs = runs.join(names.select("k", "rid", F.col("i").alias("s"), F.col("rank").alias("a")), ["k", "rid", "s"])
     runs = ws.save(runs.join(names.select("k", "rid", F.col("i").alias("e"), F.col("rank").alias("b")), ["k", "rid", "e"]), "runs")
     pos = F.struct("doc_id", "d64", "s")
-    intervals = runs.groupBy("m", "a", "b").agg(F.min(pos).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(intervals, ["m", "a", "b"]).where(F.col("first") != pos).select("doc_id", "d64", "from", "to").distinct()
+    intervals = ws.save(runs.groupBy("m", "a", "b").agg(F.min(pos).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
+    later = join_groups(runs, intervals, ["m", "a", "b"], "n", runs.count()).where(F.col("first") != pos).select("doc_id", "d64", "from", "to").distinct()
     # runs that overlap or touch are one maximal run
     doc = Window.partitionBy("doc_id", "d64").orderBy("from", "to")
     reach = F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1))
