@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, table
+from lexmill.llm.common import Workspace, join_groups, table
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,8 +54,8 @@ def write_archive(pages: DataFrame, path: str, ws: Workspace, id_col: str = "pag
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     p.select("digest", "payload").dropDuplicates(["digest"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
     index = ws.save(p.select("page_id", "url", "digest", F.length("payload").cast("long").alias("bytes")), "index")
-    firsts = index.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    records = index.join(firsts, "digest", "left")
+    firsts = ws.save(index.groupBy("digest").agg(F.when(F.max("bytes") >= least, F.min("page_id")).alias("first"), F.count("*").alias("n")), "firsts")
+    records = join_groups(index, firsts, ["digest"], "n", index.count())
     records = records.withColumn("record_type", F.when(F.col("page_id") > F.col("first"), "revisit").otherwise("response"))
     records.select(F.encode(_header(date), "UTF-8").alias("header"), "digest").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
 
@@ -84,7 +84,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     h = spark.read.schema("header binary, digest string").parquet(f"{path}/headers")
     h = h.select(_id(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Target-URI").alias("url"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), _field("WARC-Type").alias("record_type"), _id(_field("WARC-Refers-To")).alias("refers_to"))
     sizes = stored_payloads(spark, path).select("digest", F.length("payload").cast("long").alias("payload_bytes"))
-    return h.join(sizes, "digest").select("page_id", "url", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    sizes = sizes.join(h.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    return join_groups(h, sizes, ["digest"], "n", h.count()).select("page_id", "url", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
