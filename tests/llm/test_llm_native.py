@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from importlib import resources
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,23 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, rows), known.where("false")).where("license_id is not null").count() == 0
 
 
+def test_license_scan_knows_published_files_and_usual_notices(spark):
+    files = resources.files("lexmill.llm").joinpath("license_texts")
+    text = {n: files.joinpath(f"{n}.txt").read_text("utf-8") for n in licenses.FILES}
+    reflowed = "\n\n".join(" ".join(p.split()) for p in text["GPL-3.0"].split("\n\n"))
+    rows = [*text.items(), ("GPL-3.0", reflowed), ("Apache-2.0", text["Apache-2.0"].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n")]
+    for name, title in (("MIT", "MIT License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License")):
+        body = licenses.KNOWN[name]
+        rows += [(name, f"{title}\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{body}"), (name, f"{title}\n\nCopyright (c) 2020 Someone\n\n{body}"), (name, body)]
+    notices = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Mozilla Public License, v. 2.0.": "MPL-2.0", "This project is licensed under the MIT licence.": "MIT", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1"}
+    rows += [(None, f"some words\n{t}\nothers") for t in notices]
+    rows += [(None, "some words\nLicensed under terms of our own.\nothers")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [(i, t, "s") for i, (_, t) in enumerate(rows)]), licenses.known_licenses(spark)).collect()}
+    of = lambda x: x and re.sub(r"(-notice)?(-\d+)?$", "", x)
+    assert [(i, n, got[i].license_id) for i, (n, _) in enumerate(rows) if of(got[i].license_id) != n] == []
+    assert [of(got[len(rows) - len(notices) - 1 + i].notices) for i in range(len(notices))] == list(notices.values()) and got[len(rows) - 1].notices == ""
+
+
 def waterfill(sizes, cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
