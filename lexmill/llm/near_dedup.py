@@ -1,24 +1,25 @@
-"""Near-duplicates: bottom-k sketches, inverted lists, union-sketch estimates, exact Jaccard.
+"""Near-duplicates: bottom-k sketches, inverted lists, exact Jaccard.
 
 A text's set is its distinct shingles, hashed once to 64 bits; its sketch is
 the ``SKETCH`` smallest hashes. Texts with equal sets are one node. Two nodes
 are linked if 100 * |A & B| >= 75 * |A | B|.
 
 Candidates. Of linked nodes' sketches, about 75 in 100 values agree; the sure
-part used here is 44 in 100 (5 standard deviations below at J = 0.75, a miss
-in some ten million pairs). Sketches that agree in o of k values share one of
-their first k - o + 1 values in any common order, so a node enters only the
-inverted lists of that many values, rarest first. A node whose values are
-mostly its own enters none, however common the passage it quotes.
+part used here is 44 in 100 (at J = 0.75 a miss in a million pairs where one
+set contains the other, in some 10^11 where they are of equal size). Sketches
+that agree in o of k values share one of their first k - o + 1 values in any
+common order, so a node enters only the inverted lists of that many values,
+rarest first. A node whose values are mostly its own enters none, however
+common the passage it quotes.
 
 Verification. Each inverted list names its most central member, the one with
 the fewest values of its own, as pivot; the lists of a pivot together are one
 cluster, so a group of near copies that share dozens of lists is compared
 once. Clusters are compared in blocks of bounded size: members not linked to
 the pivot directly against all members. Inside a block no pair is written
-out: sizes, sketch overlaps and union-sketch estimates sift, full sets confirm,
-and only links that join two parts of the block leave it. No list, cluster or
-partner count has a cap.
+out: sizes and sketch overlaps sift, full sets confirm, and only links that
+join two parts of the block leave it. No list, cluster or partner count has a
+cap.
 
 Components are found by large-star and small-star rounds over the links; their
 tables are staged in the shared folder, so a lost executor repeats one round.
@@ -42,8 +43,8 @@ from lexmill.llm.common import Workspace, free_name, table
 from lexmill.llm.shingles import SKETCH, _Words, shingle_set
 
 LINK = (75, 100)
-#: Share of a sketch that linked nodes surely agree in, and the least estimate worth verifying.
-SURE, LEAST = 0.44, 0.5
+#: Share of a sketch that linked nodes surely agree in.
+SURE = 0.44
 #: Nodes and shingles of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
 
@@ -109,7 +110,7 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
     for k in np.argsort(-overlap[li, ri], kind="stable"):
         i, j = int(left[li[k]]), int(right[ri[k]])
         ti, tj = root(i), root(j)
-        if ti != tj and union_estimate(sketches[i], sketches[j]) >= LEAST and linked(sets[i], sets[j]):
+        if ti != tj and linked(sets[i], sets[j]):
             parent[max(ti, tj)] = min(ti, tj)
             out.append((int(nodes[i]), int(nodes[j])))
     return out

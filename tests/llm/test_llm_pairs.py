@@ -88,6 +88,14 @@ def test_near_dedup_rows_and_edges(spark):
     assert near_dedup.classes(empty, Workspace(spark)).count() == 0
 
 
+def test_links_are_kept_whatever_their_union_estimate():
+    # 23 of the union's 48 smallest are shared, 77 of 100 in all
+    low, high = np.arange(48, dtype=np.uint64), np.arange(100, 154, dtype=np.uint64)
+    a, b = np.concatenate([low[:36], high]), np.concatenate([low[:23], low[36:], high])
+    assert near_dedup.linked(a, b) and near_dedup.union_estimate(a[:SKETCH], b[:SKETCH]) < 0.5
+    assert near_dedup.block_links(np.array([7, 8]), [a, b], np.array([0, 1]), np.array([0, 1])) == [(7, 8)]
+
+
 def test_union_estimate_is_near_the_truth():
     r = np.random.default_rng(3)
     for j in (0.5, 0.75, 0.9):
