@@ -186,8 +186,7 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     known = F.broadcast(known) if n_known <= max_broadcast else known
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     form = canonical(F.col("t"))
-    # a line that could be a notice has a word of licensing; the cheap test comes first
-    lines = F.filter(F.split(F.lower(F.coalesce("t", F.lit(""))), "\n"), lambda x: x.rlike("licen[cs]e"))
+    lines = F.filter(F.split(F.lower(F.coalesce("t", F.lit(""))), "\n"), lambda x: x != "")
     rows = rows.select("doc_id", F.sha2(form, 256).alias("canon_sha256"), F.transform(lines, lambda x: F.sha2(_folded(x), 256)).alias("lines"))
     whole = rows.join(known.withColumnRenamed("k", "canon_sha256"), "canon_sha256", "left")
     if n_known > max_broadcast:

@@ -117,6 +117,15 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, rows), known.where("false")).where("license_id is not null").count() == 0
 
 
+def test_license_scan_digests_every_line(spark):
+    one_line = [(n, " ".join(licenses.KNOWN[n].split())) for n in ("ISC", "0BSD", "Zlib", "BSD-2-Clause")]
+    assert all(not re.search("licen[cs]e", t.lower()) for n, t in one_line)
+    rows = [(i, f"some words\n{t}\nothers", "s") for i, (_, t) in enumerate(one_line)]
+    for many in (100_000, 0):
+        got = {r.doc_id: r.notices for r in licenses.scan(docs(spark, rows), licenses.known_licenses(spark), max_broadcast=many).collect()}
+        assert got == {i: n for i, (n, _) in enumerate(one_line)}
+
+
 def test_license_scan_knows_published_files_and_usual_notices(spark):
     files = resources.files("lexmill.llm").joinpath("license_texts")
     text = {n: files.joinpath(f"{n}.txt").read_text("utf-8") for n in licenses.FILES}
