@@ -3,11 +3,13 @@
 A document has a strength w . f over features of its whole text; that it is
 preferred to another has probability sigmoid(w . (f1 - f2)). The weights are
 learnt by logistic loss on feature differences of (good, bad) pairs. The
-threshold is the quantile of strengths that leaves the training sample's share
-of bad documents below it, and scores are scaled so that it scores 0.7.
+threshold is the quantile of strengths that leaves the share of bad documents
+below it, over all rows that may be learnt from, and scores are scaled so that
+it scores 0.7.
 
 Learning reads at most ``max_labels`` labelled rows (taken in order of a hash
-of their id) and makes at most ``max_pairs`` pairs of them, on the driver.
+of their id) and makes at most ``max_pairs`` pairs of them, on the driver. With
+more labels than that, the threshold is one distributed aggregate over them.
 Features are counted on Arrow batches of whole texts, by byte and list
 operations that need no regular expression; scores are DataFrame functions.
 
@@ -19,7 +21,7 @@ rows count. Without both classes all weights are 0 and every score is 0.7.
 from __future__ import annotations
 
 import operator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
@@ -31,6 +33,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lexmill.llm.common import table
 
 THRESHOLD = 0.7
+#: One in so many rows is the error in rank of a threshold over more labels than are learnt from.
+ACCURACY = 100_000
 #: What is counted in a text; each count gives its rate a word and the log of one more than it.
 COUNTS = ("columns", "symbols", "shouts", "capitals", "repeats", "figures", "sentences")
 NAMES = (*(f"n_{k}" for k in COUNTS), "n_words", "n_chars")
@@ -81,12 +85,16 @@ class Model:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.means) / self.scales) @ np.asarray(self.weights)
 
-    def score(self) -> Column:
-        """The score, from the counts by name; in (0, 1), 0.7 at the threshold."""
+    def strength_column(self) -> Column:
+        """The strength, from the counts by name."""
         s = F.lit(0.0)
         for w, m, d, v in zip(self.weights, self.means, self.scales, vector(), strict=True):
             s = s + (v - F.lit(float(m))) / F.lit(float(d)) * F.lit(float(w))
-        z = s - F.lit(self.threshold) + F.lit(float(np.log(THRESHOLD / (1 - THRESHOLD))))
+        return s
+
+    def score(self) -> Column:
+        """The score, from the counts by name; in (0, 1), 0.7 at the threshold."""
+        z = self.strength_column() - F.lit(self.threshold) + F.lit(float(np.log(THRESHOLD / (1 - THRESHOLD))))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
@@ -119,12 +127,27 @@ def vector_names() -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 4, held: int = 2, max_labels: int = 20_000, **kw) -> Model:
-    """Learns from labelled rows whose remainder is not ``held``, at most ``max_labels``."""
+    """Learns weights from at most ``max_labels`` labelled rows whose remainder is not ``held``, the threshold from all of them."""
     use = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    use = use.where(remainder(F.col("id"), mod) != held).orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
+    every = use.where(remainder(F.col("id"), mod) != held)
+    use = every.orderBy(F.xxhash64("id"), "id", "y").limit(max_labels)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(use), F.col("doc_id") == F.col("id"))
     rows = with_counts(d, "text", F.col("y")).select("y", *[v.alias(f"x{i}") for i, v in enumerate(vector())]).toPandas().sort_values(["y", *(f"x{i}" for i in range(len(vector_names())))])
-    return learn(rows.drop(columns="y").to_numpy(float), rows["y"].to_numpy(int), **kw)
+    model = learn(rows.drop(columns="y").to_numpy(float), rows["y"].to_numpy(int), **kw)
+    if not any(model.weights) or every.limit(max_labels + 1).count() <= max_labels:
+        return model
+    return replace(model, threshold=threshold(docs, every, model, id_col, text_col))
+
+
+def threshold(docs: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The strength that leaves the share of bad rows below it, over all of ``labels`` (id, y) with a document.
+
+    Its rank is off by at most one row in ``ACCURACY``. Strengths are shuffled, texts are not.
+    """
+    n, bad = labels.join(docs.select(F.col(id_col).alias("doc_id")), F.col("doc_id") == F.col("id")).agg(F.count("*"), F.count_if(F.col("y") == 0)).first()
+    strengths = with_counts(docs, text_col, F.col(id_col).alias("doc_id")).select("doc_id", model.strength_column().alias("s"))
+    both = F.percentile_approx("s", [bad / n, min(1.0, (bad + 1) / n)], ACCURACY)
+    return float(sum(strengths.join(labels, F.col("doc_id") == F.col("id")).agg(both).first()[0]) / 2)
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
