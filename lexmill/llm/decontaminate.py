@@ -131,16 +131,18 @@ def report(docs: DataFrame, benchmark: DataFrame, ws: Workspace, share: int = 20
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", max_broadcast: int = 1_000_000, **kw) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated.
 
-    Ids of contaminated rows are broadcast up to ``max_broadcast`` of them and
-    shuffle-joined beyond. Of rows that share an id, all go if one is contaminated.
+    Ids of contaminated rows, with a hash of the text, are broadcast up to
+    ``max_broadcast`` of them and shuffle-joined beyond.
     """
-    name = free_name(docs, "__bad")
-    bad = ws.save(report(docs, benchmark, ws, id_col=id_col, **kw).where("contaminated").select(F.col("doc_id").alias(name)).distinct(), "bad")
+    name, d64, key = free_name(docs, "__bad"), free_name(docs, "__d64"), free_name(docs, "__key")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("d64")).alias(key), F.col(text_col))
+    found = report(keyed, benchmark, ws, id_col=key, text_col=text_col, **kw).where("contaminated")
+    bad = ws.save(found.select(F.col("doc_id.id").alias(name), F.col("doc_id.d64").alias(d64)).distinct(), "bad")
     small = bad.count() <= max_broadcast
-    return docs.join(F.broadcast(bad) if small else bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(d64)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -68,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_
 
 
 def plan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: int = 7, rows_per_bucket: int = 2000, max_broadcast: int = 100_000) -> DataFrame:
-    """Per row of ``docs``: rid, doc_id, size, source_size, target, times (how often the mix takes it), taken (words)."""
+    """Per row of ``docs``: rid, doc_id, size, digest (of the text), source_size, target, times (how often the mix takes it), taken (words)."""
     text = F.col(text_col)
     key = -F.log(uniform(F.col(id_col), text, seed)) / (letter_share(text) if quality is None else quality)
     d = ws.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")), "sizes")
@@ -97,20 +97,32 @@ def plan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str =
     more = (F.col("bucket") <= F.col("last")) | (F.col("at") + F.col("size") / 2 <= F.col("budget"))
     times = (F.col("epochs") + F.when(more & (F.col("budget") > 0), 1).otherwise(0)).cast("long")
     times = F.when(F.col("size") > 0, times).otherwise(0).cast("long")
-    return out.select("rid", "doc_id", "source", "size", "source_size", "target", times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
+    return out.select("rid", "doc_id", "source", "size", "digest", "source_size", "target", times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
 
 
-def mix(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", max_broadcast: int = 2_000_000, **kw) -> DataFrame:
-    """The rows the mix takes, repeated as often as it takes them. Ids must be unique."""
-    name, times = free_name(docs, "__id"), free_name(docs, "__times")
-    chosen = ws.save(plan(docs, ws, id_col=id_col, **kw).where("times > 0").select(F.col("doc_id").alias(name), F.col("times").alias(times)), "chosen")
+def mix(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 2_000_000, **kw) -> DataFrame:
+    """The rows the mix takes, repeated as often as it takes them.
+
+    Rows are told apart by id and a hash of source and text. Rows that agree in
+    these share out their takes: they are numbered, and each gets one of the counts.
+    """
+    name, mark, times, shared, place = (free_name(docs, x) for x in ("__id", "__mark", "__times", "__shared", "__place"))
+    p = plan(docs, ws, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
+    chosen = p.groupBy(F.col("doc_id").alias(name), F.xxhash64("digest", "source").alias(mark)).agg(F.sort_array(F.collect_list("times"), False).alias(shared))
+    chosen = chosen.withColumn(times, F.col(shared)[0]).where(F.col(times) > 0)
+    chosen = ws.save(chosen.withColumn(shared, F.when(F.size(shared) > 1, F.col(shared))), "chosen")
     small = chosen.count() <= max_broadcast
-    out = docs.join(F.broadcast(chosen) if small else chosen, F.col(id_col).eqNullSafe(F.col(name)))
+    key = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col(source_col)) == F.col(mark))
+    out = docs.join(F.broadcast(chosen) if small else chosen, key)
+    if chosen.where(F.col(shared).isNotNull()).limit(1).count():
+        more = out.where(F.col(shared).isNotNull()).withColumn(place, F.row_number().over(Window.partitionBy(name, mark).orderBy(F.lit(1))))
+        more = more.withColumn(times, F.element_at(shared, F.col(place))).where(F.col(times) > 0).drop(place)
+        out = out.where(F.col(shared).isNull()).unionByName(more)
     return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir):
-    return plan(table(spark, sf_dir, "documents"), Workspace(spark)).drop("rid", "source", "times")
+    return plan(table(spark, sf_dir, "documents"), Workspace(spark)).drop("rid", "source", "digest", "times")
 
 
 OP6_SQL = r"""

@@ -56,7 +56,7 @@ def _sketches(size: int):
         words = _Words()
         for b in batches:
             sets = [shingle_set(t, words, size) for t in b["text"]]
-            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "sketch": [s[:SKETCH].view(np.int64) for s in sets]})
+            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "d64": b["d64"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "sketch": [s[:SKETCH].view(np.int64) for s in sets]})
 
     return run
 
@@ -193,11 +193,11 @@ def links(docs: DataFrame, nodes: DataFrame, ws: Workspace, text_col: str, size:
 
 
 def classes(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Per row of ``df``: rid, doc_id, n_shingles, component_id, kept."""
+    """Per row of ``df``: rid, doc_id, d64 (a hash of the text), n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    d = ws.save(rows.mapInPandas(_sketches(size), f"rid long, doc_id {id_type}, n long, digest string, sketch array<long>"), "sketches")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("d64"), "text")
+    d = ws.save(rows.mapInPandas(_sketches(size), f"rid long, doc_id {id_type}, d64 long, n long, digest string, sketch array<long>"), "sketches")
     nodes = ws.save(d.where("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     roots = components(ws.save(links(docs, nodes, ws, text_col, size, max_broadcast), "links"), ws)
     ws.drop("sets", "members", "star", "rest", "sizes", "wanted")
@@ -206,17 +206,18 @@ def classes(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
     named = nodes.select("digest", "rep").join(of, "digest", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     named = ws.save(named, "classes")
     ws.drop("nodes", "links")
-    out = d.select("rid", "doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left").drop("digest")
+    out = d.select("rid", "doc_id", "d64", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left").drop("digest")
     own = F.col("n_shingles") == 0
     return out.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_dedup(df: DataFrame, ws: Workspace, id_col: str = "doc_id", max_broadcast: int = 2_000_000, **kw) -> DataFrame:
-    """The rows of ``df`` that stay, one per component. Ids must be unique."""
-    name = free_name(df, "__id")
-    gone = ws.save(classes(df, ws, id_col=id_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias(name)), "gone")
+def near_dedup(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000, **kw) -> DataFrame:
+    """The rows of ``df`` that stay, one per component; rows of one id and one text stay or go together."""
+    name, d64 = free_name(df, "__id"), free_name(df, "__d64")
+    gone = classes(df, ws, id_col=id_col, text_col=text_col, **kw).where(~F.col("kept"))
+    gone = ws.save(gone.select(F.col("doc_id").alias(name), F.col("d64").alias(d64)).distinct(), "gone")
     small = gone.count() <= max_broadcast
-    return df.join(F.broadcast(gone) if small else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    return df.join(F.broadcast(gone) if small else gone, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(d64)), "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir):

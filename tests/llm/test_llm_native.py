@@ -180,6 +180,25 @@ def test_mix_targets_and_taken(spark, ws):
     assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mix_takes_repeated_and_null_ids_as_planned(spark, ws):
+    rows = [(None if i % 4 == 0 else i % 6, f"some words of {i // 3}", f"s{i % 2}") for i in range(60)] + [(1, "the same text", "s0")] * 5 + [(None, "the same text", "s1")] * 4
+    want, p = {}, mix.plan(docs(spark, rows), ws).collect()
+    text = {hashlib.md5(t.encode()).hexdigest(): t for _, t, _ in rows}
+    for r in p:
+        k = (r.doc_id, r.source, text[r.digest])
+        want[k] = want.get(k, 0) + r.times
+    got = {(r.doc_id, r.source, r.text): r.n for r in mix.mix(docs(spark, rows), Workspace(spark)).groupBy("doc_id", "source", "text").agg(F.count("*").alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_drop_contaminated_with_null_and_repeated_ids(spark, ws):
+    bench = " ".join(f"w{i}" for i in range(20))
+    b = spark.createDataFrame([(1, bench)], "item_id long, text string")
+    rows = [(None, bench, "s"), (None, "clean words", "s"), (None, None, "s"), (1, bench, "s"), (1, "other clean words", "s"), (2, "more", "s")]
+    out = decontaminate.drop_contaminated(docs(spark, rows), b, ws)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(i, t) for i, t, _ in rows if t != bench], key=str)
+
+
 def test_mix_rows_and_empty(spark, ws):
     rows = [(i, f"some words {i}", f"s{i % 3}") for i in range(60)]
     d = docs(spark, rows).withColumn("__times", F.lit(0))

@@ -88,6 +88,12 @@ def test_near_dedup_rows_and_edges(spark):
     assert near_dedup.classes(empty, Workspace(spark)).count() == 0
 
 
+def test_near_dedup_drops_rows_not_ids(spark):
+    rows = [(3, "a b c d e f"), (None, "a b c d e f"), (None, "clean words of another text here"), (None, None), (8, "A b c d e f"), (8, "one more text that nobody else has")]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_links_are_kept_whatever_their_union_estimate():
     # 23 of the union's 48 smallest are shared, 77 of 100 in all
     low, high = np.arange(48, dtype=np.uint64), np.arange(100, 154, dtype=np.uint64)
