@@ -47,18 +47,23 @@ class Workspace:
 
     A staged table cuts the lineage: a lost executor repeats work back to the
     last table only. ``drop`` and ``close`` delete tables no longer read; the
-    caller closes a workspace once nothing lazy reads from it.
+    caller closes a workspace once nothing lazy reads from it. One that is
+    never closed is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/lexmill-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _delete(self, path: str) -> None:
