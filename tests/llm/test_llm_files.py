@@ -50,6 +50,49 @@ def test_warc_round_trip(spark):
     ws.close()
 
 
+def test_warc_keeps_every_url(spark):
+    body = "z" * 200
+    urls = ["http://a\u2028WARC-Payload-Digest: sha256:abc", "http://a\u0085WARC-Type: response", "http://a\u2029WARC-Record-ID: <urn:page:77>", "", None, "x\r\nWARC-Type: revisit\r\n\r\n", "a%0Ab", "\r", "plain"]
+    rows = [(i, u, body) for i, u in enumerate(urls)]
+    ws = Workspace(spark)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), ws.path("a"), ws, date=F.concat(F.lit("2020-01-0"), F.col("page_id") + 1, F.lit("T00:00:00Z")))
+    got = {r.page_id: r for r in warc.read_archive(spark, ws.path("a")).collect()}
+    assert {i: r.url for i, r in got.items()} == dict(enumerate(urls))
+    assert [(r.record_type, r.refers_to) for _, r in sorted(got.items())] == [("response", None)] + [("revisit", 0)] * 8
+    assert {r.page_id: b"WARC-Date: 2020-01-0%d" % (r.page_id + 1) in bytes(r.record) for r in warc.records(spark, ws.path("a")).collect()} == dict.fromkeys(range(9), True)
+    ws.close()
+
+
+def test_warc_ids_of_other_types(spark):
+    body = "z" * 200
+    ids = ["b>c", "a d/é", "-", "", None, "a d/é"]
+    ws = Workspace(spark)
+    warc.write_archive(spark.createDataFrame([(i, "u", body) for i in ids], "page_id string, url string, html string"), ws.path("a"), ws)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_archive(spark, ws.path("a")).collect()), key=str)
+    assert got == sorted([(i, "revisit" if i else "response", "" if i else None) for i in ids], key=str)
+    ws.close()
+
+
+def test_warc_shares_out_hot_payloads(spark):
+    rows = [(i, f"u{i}", "h" * 300 if i % 3 else f"{i} " * 60) for i in range(600)]
+    ws = Workspace(spark)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), ws.path("a"), ws, bits_per_row=1)
+    assert spark.read.parquet(ws.path("a") + "/payloads").count() == 201
+    got = {r.page_id: (r.url, r.payload.decode()) for r in warc.records(spark, ws.path("a")).select("page_id", "url", F.decode("payload", "UTF-8").alias("p"), "payload").collect()}
+    assert got == {i: (u, h) for i, u, h in rows}
+    ws.close()
+
+
+def test_warc_fails_on_lost_payloads(spark):
+    ws = Workspace(spark)
+    warc.write_archive(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string"), ws.path("a"), ws)
+    rest = [(hashlib.sha256(b"one").hexdigest(), bytearray(b"one"))]
+    spark.createDataFrame(rest, "digest string, payload binary").write.mode("overwrite").parquet(ws.path("a") + "/payloads")
+    with pytest.raises(Exception, match="no payload as the header says"):
+        warc.read_archive(spark, ws.path("a")).collect()
+    ws.close()
+
+
 def test_warc_empty_and_damaged(spark):
     ws = Workspace(spark)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
