@@ -4,20 +4,22 @@ Words are runs of ASCII digits, lower-cased ASCII letters and non-ASCII
 characters. A window is ``n`` consecutive words of a benchmark item; an item
 of fewer words, but not none, is one window.
 
-One pass reads the texts and shuffles nothing. A window of L words that occurs
-in a text covers an aligned stretch of q = (L + 1) div 2 words (one that starts
-at a multiple of q), so a text is looked at closely only if one of its aligned
-stretches is in the set of stretches of windows: each word is hashed once per
-distinct q. Texts that pass are scanned window by window against the hash set;
-hits are verified by their words in a join with the windows themselves.
-
-The hash sets travel inside the tasks, for at most ``max_inline`` windows.
-Beyond that all windows of all texts are exploded and shuffle-joined instead.
+One pass reads the texts. A window of L words that occurs in a text covers an
+aligned stretch of q = (L + 1) div 2 words (one that starts at a multiple of
+q), so each word is hashed once per distinct q, and the hashes of a text's
+aligned stretches probe the set of hashes of all stretches of windows, which
+is broadcast. A stretch that is in the set passes on with the words around it;
+the windows that cover it are looked up among the benchmark's windows by their
+words, which verifies the hit. Texts are never shuffled.
+
+The set is broadcast for at most ``max_broadcast`` stretches. A larger one is
+joined by shuffle: still only hashes of aligned stretches move, one for q
+words of text, and words move only for those in the set.
 
 Edge cases: null or empty texts have no words and no hits; items without words
 have no windows; an item_id repeated is one item; a null item_id counts as an
 item and is left out of the list of ids. Rows that repeat a doc_id are judged
-each by its own text.
+each by its own text, and cut or dropped by id and a hash of the text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, ascii_lower, free_name, table
+from lexmill.llm.common import Workspace, ascii_lower, free_name, join_groups, table
 
 #: The words of a lower-cased text, and of one as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,67 +46,77 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFram
     return w.select("item_id", "len", F.explode(at).alias("gram")).distinct()
 
 
+def _hash(q: Column, words: Column) -> Column:
+    return F.xxhash64(q, words)
+
+
 def _stretches(windows: DataFrame) -> DataFrame:
-    """(q, h): hashes of all stretches of q = (len + 1) div 2 words of the windows."""
+    """h: hashes of all stretches of q = (len + 1) div 2 words of the windows."""
     w = windows.select("len", F.expr("(len + 1) div 2").cast("int").alias("q"), F.split("gram", " ").alias("w")).distinct()
-    at = F.transform(F.sequence(F.lit(1), F.col("len") - F.col("q") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("q")), " ")))
-    return w.select("q", F.explode(at).alias("h")).distinct()
+    at = F.transform(F.sequence(F.lit(1), F.col("len") - F.col("q") + 1), lambda i: _hash(F.col("q"), F.slice("w", i, F.col("q"))))
+    return w.select(F.explode(at).alias("h")).distinct()
 
 
-def _inline_hits(windows: DataFrame) -> Column:
-    """An expression over column ``w`` that lists the hits of a text, with the hash sets in it."""
-    grams: dict[int, set[int]] = {}
-    for r in windows.select("len", F.xxhash64("gram").alias("h")).distinct().collect():
-        grams.setdefault(r["len"], set()).add(r["h"])
-    aligned: dict[int, set[int]] = {}
-    for r in _stretches(windows).collect():
-        aligned.setdefault(r["q"], set()).add(r["h"])
+#: The row of a text itself among those of its stretches.
+ITSELF = "named_struct('q', 0, 'i', 0, 'h', 0L)"
 
-    def literal(hashes: set[int]) -> str:
-        return ",".join(f"{h}L" if h > -(2**63) else "cast(-9223372036854775808 as bigint)" for h in sorted(hashes))
 
-    near = " or ".join(f"(size(w) >= {q} and exists(sequence(0, size(w) div {q} - 1), i -> xxhash64(array_join(slice(w, i * {q} + 1, {q}), ' ')) in ({literal(h)})))" for q, h in sorted(aligned.items()))
-    found = ", ".join(
-        f"if(size(w) >= {n}, transform(filter(sequence(1, size(w) - {n} + 1), i -> xxhash64(array_join(slice(w, i, {n}), ' ')) in ({literal(h)})), i -> named_struct('pos', i, 'len', {n}, 'gram', array_join(slice(w, i, {n}), ' '))), {NO_HITS})"
-        for n, h in sorted(grams.items())
-    )
-    return F.expr(f"if({near}, concat({found}), {NO_HITS})")
+def _aligned(q: int) -> Column:
+    """(q, i, h) of every aligned stretch of q words of column ``w``; i counts from 0."""
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / q).cast("int") - 1), lambda i: F.struct(F.lit(q).alias("q"), i.alias("i"), _hash(F.lit(q), F.slice("w", i * q + 1, F.lit(q))).alias("h")))
+    return F.when(F.size("w") >= q, rows).otherwise(F.expr("cast(array() as array<struct<q:int,i:int,h:bigint>>)"))
 
 
-NO_HITS = "cast(array() as array<struct<pos:int,len:int,gram:string>>)"
+def _near() -> tuple[Column, Column]:
+    """(first position, words) around stretch i of q words: all that windows of up to 2 q words covering it can hold."""
+    first = F.greatest(F.lit(1), (F.col("i") - 1) * F.col("q") + 1)
+    return first.alias("at"), F.slice("w", first, (F.col("i") + 2) * F.col("q") - first + 1).alias("near")
 
 
-def _places(n: int) -> Column:
-    """Every window of n words of column ``w``."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+def _windows_over(lens: list[int]) -> Column:
+    """(pos, len, gram) of the windows that cover the stretch of a row, from at, q, i and near."""
 
+    def of(n: int) -> Column:
+        q = (n + 1) // 2
+        start = F.col("i") * q + 1
+        low, high = F.greatest(F.lit(1), start - (n - q)), F.least(start, F.col("at") + F.size("near") - n)
+        rows = F.transform(F.sequence(low, high), lambda p: F.struct(p.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("near", p - F.col("at") + 1, F.lit(n)), " ").alias("gram")))
+        return F.when((F.col("q") == q) & (low <= high), rows).otherwise(F.expr("cast(array() as array<struct<pos:int,len:int,gram:string>>)"))
 
-def _joined_hits(words: DataFrame, windows: DataFrame, ws: Workspace) -> DataFrame:
-    """For windows too many to send with the tasks: (rid, pos, len, gram) by a shuffled join."""
-    hits = None
-    for r in windows.select("len").distinct().collect():  # at most n lengths
-        one = words.where(F.size("w") >= r["len"]).select("rid", F.explode(_places(r["len"])).alias("x")).select("rid", "x.*")
-        hits = one if hits is None else hits.unionByName(one)
-    return hits.join(windows.select("len", "gram").distinct(), ["len", "gram"], "left_semi")
+    return F.concat(*map(of, lens))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_inline: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Two staged tables: (rid, doc_id, n_words) per row of ``docs``, and verified hits (rid, pos, len, gram, item_id)."""
+def scan(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 13, max_broadcast: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (rid, doc_id, n_words) per row of ``docs``, and verified hits (rid, pos, len, item_id)."""
     windows = ws.save(windows_of(benchmark, item_id_col, item_text_col, n), "windows")
-    n_windows = windows.count()
+    lens = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most n
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
-    if 0 < n_windows <= max_inline:
-        seen = ws.save(base.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), _inline_hits(windows).alias("hits")), "seen")
-        hits = seen.select("rid", F.explode("hits").alias("x")).select("rid", "x.*")
-    elif n_windows:
+    n_words = F.size("w").cast("long").alias("n_words")
+    if not lens:
+        seen = base.select("rid", "doc_id", n_words)
+        return seen, seen.where("false").select("rid", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast(benchmark.schema[item_id_col].dataType).alias("item_id"))
+    stretches = ws.save(_stretches(windows), "stretches")
+    qs = sorted({(x + 1) // 2 for x in lens})
+    if stretches.count() <= max_broadcast:
+        known = F.broadcast(stretches.union(docs.sparkSession.sql("SELECT 0L AS h")).distinct())
+        hashed = base.select("rid", "doc_id", "w", F.concat(F.array(F.expr(ITSELF)), *map(_aligned, qs)).alias("s"))
+        hit = hashed.select("rid", "doc_id", "w", F.explode("s").alias("s")).select("rid", "doc_id", "w", "s.*").join(known, "h", "left_semi")
+        itself = F.col("q") == 0
+        found = ws.save(hit.select("rid", F.when(itself, F.col("doc_id")).alias("doc_id"), F.when(itself, F.size("w").cast("long")).alias("n_words"), "q", "i", *(F.when(~itself, x).alias(k) for k, x in zip(("at", "near"), _near(), strict=True))), "found")
+        seen, found = found.where("q = 0").select("rid", "doc_id", "n_words"), found.where("q > 0")
+    else:
         base = ws.save(base, "base")
-        seen = base.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"))
-        hits = _joined_hits(base.select("rid", "w"), windows, ws)
+        seen = base.select("rid", "doc_id", n_words)
+        hashed = base.select("rid", F.explode(F.concat(*map(_aligned, qs))).alias("s")).select("rid", "s.*")
+        passed = ws.save(hashed.join(stretches, "h", "left_semi").select("rid", "q", "i"), "passed")
+        found = passed.join(base, "rid").select("rid", "q", "i", *_near())
+    grams = ws.save(found.select("rid", F.explode(_windows_over(lens)).alias("x")).select("rid", "x.*").distinct(), "grams")
+    if windows.count() <= max_broadcast:
+        hits = grams.join(F.broadcast(windows), ["len", "gram"])
     else:
-        seen = ws.save(base.select("rid", "doc_id", F.size("w").cast("long").alias("n_words")), "seen")
-        hits = seen.where("false").select("rid", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit("").alias("gram"))
-    verified = hits.join(windows, ["len", "gram"]).select("rid", "pos", "len", "item_id")
-    return seen.select("rid", "doc_id", "n_words"), verified
+        often = grams.groupBy("len", "gram").agg(F.count("*").alias("n"))
+        hits = join_groups(grams, windows.join(often, ["len", "gram"]), ["len", "gram"], "n", grams.count())
+    return seen, hits.select("rid", "pos", "len", "item_id")
 
 
 def covered(spans: Column) -> Column:
@@ -131,34 +143,38 @@ def report(docs: DataFrame, benchmark: DataFrame, ws: Workspace, share: int = 20
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000, **kw) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", max_marks: int = 1_000_000, **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated.
 
     Ids of contaminated rows, with a hash of the text, are broadcast up to
-    ``max_broadcast`` of them and shuffle-joined beyond.
+    ``max_marks`` of them and shuffle-joined beyond.
     """
     name, d64, key = free_name(docs, "__bad"), free_name(docs, "__d64"), free_name(docs, "__key")
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("d64")).alias(key), F.col(text_col))
     found = report(keyed, benchmark, ws, id_col=key, text_col=text_col, **kw).where("contaminated")
     bad = ws.save(found.select(F.col("doc_id.id").alias(name), F.col("doc_id.d64").alias(d64)).distinct(), "bad")
-    small = bad.count() <= max_broadcast
+    small = bad.count() <= max_marks
     return docs.join(F.broadcast(bad) if small else bad, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(d64)), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", max_marks: int = 1_000_000, **kw) -> DataFrame:
     """``docs`` with the words of hits cut out of the text; the characters between words stay.
 
-    Rows are matched to their spans by id: ids must be unique here.
+    Spans of a row are joined back by id and a hash of the text, by broadcast
+    up to ``max_marks`` texts with hits.
     """
-    seen, hits = scan(docs, benchmark, ws, id_col=id_col, text_col=text_col, **kw)
-    name, spans = free_name(docs, "__id"), free_name(docs, "__spans")
+    name, d64, spans, key = (free_name(docs, x) for x in ("__id", "__d64", "__spans", "__key"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("d64")).alias(key), F.col(text_col))
+    seen, hits = scan(keyed, benchmark, ws, id_col=key, text_col=text_col, **kw)
     cut = hits.select("rid", "pos", "len").distinct().groupBy("rid").agg(F.collect_list(F.struct("pos", "len")).alias(spans))
-    cut = seen.join(cut, "rid").select(F.col("doc_id").alias(name), spans)
+    cut = seen.join(cut, "rid").groupBy(F.col("doc_id.id").alias(name), F.col("doc_id.d64").alias(d64)).agg(F.first(spans).alias(spans))
+    cut = ws.save(cut, "cut")
+    small = cut.count() <= max_marks
     words = F.regexp_extract_all(F.col(text_col), F.lit(RAW_WORD), F.lit(0))
     gaps = F.split(F.col(text_col), RAW_WORD, -1)
     kept = F.transform(words, lambda w, i: F.when(F.exists(spans, lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"])), F.lit("")).otherwise(w))
     rebuilt = F.concat(gaps[0], F.array_join(F.zip_with(kept, F.slice(gaps, F.lit(2), F.size(words)), lambda w, g: F.concat(w, g)), ""))
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col(name)), "left")
+    out = docs.join(F.broadcast(cut) if small else cut, F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(d64)), "left")
     return out.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(rebuilt)).select(*docs.columns)
 
 
