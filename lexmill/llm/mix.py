@@ -7,16 +7,19 @@ target of e.5 sizes gives e complete epochs, then a sample of half its size: a
 document's key is -ln(u) / quality with u from a hash of its id and text, and
 documents are taken in order of key up to the budget.
 
-The order by key is never sorted in one task per source. A key falls into one
-of ``buckets`` equal shares of 1 - exp(-key), which rises with the key. Bucket
-sums per source are prefix-summed; buckets wholly inside the budget are taken
-as they are, and only the bucket in which the budget ends is sorted. A bucket
-holds about rows / buckets of a source, so ``buckets`` follows the row count.
+The order by key is never sorted in one task per source. A source's keys are
+cut into ``buckets`` ranges between their least and greatest logarithm, whose
+sums are prefix-summed; the bucket in which the budget ends is cut again, until
+it has at most ``rows_per_task`` rows, and only those are sorted. Weights of
+any scale and rows of one weight fall into ranges alike, and keys that agree
+are cut by row. What comes out is one cut per source, with which any scan of
+the documents tells what is taken: neither rows nor texts are shuffled.
 
 Edge cases: null or empty texts have size 0 and are never taken; a null source
-is a source of its own, last in order; a source of size 0 has target 0. Rows
-that repeat id and text fall on the same key and are ordered by nothing else:
-which of them is cut by the budget does not show in the sums per source.
+is a source of its own, last in order; a source of size 0 has target 0. A null
+or negative quality counts as the least. Rows that repeat id and text fall on
+the same key and are ordered by nothing else: which of them is cut by the
+budget does not show in the sums per source.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, free_name, table
+from lexmill.llm.common import Workspace, free_name, join_groups, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[A-Za-z\x{80}-\x{10FFFF}]"
@@ -67,58 +70,101 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_
     return s.select("source", "source_size", F.when(F.col("lvl").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("lvl") * F.col("w"))).alias("target"))
 
 
-def plan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: int = 7, rows_per_bucket: int = 2000, max_broadcast: int = 100_000) -> DataFrame:
-    """Per row of ``docs``: rid, doc_id, size, digest (of the text), source_size, target, times (how often the mix takes it), taken (words)."""
+def log_key(id_col: Column, text: Column, quality: Column | None, seed: int) -> Column:
+    """The logarithm of a document's key, which orders as the key does."""
+    weight = F.coalesce(F.greatest(F.lit(1e-9), letter_share(text) if quality is None else quality), F.lit(1e-9))
+    return F.log(-F.log(uniform(id_col, text, seed)) / weight)
+
+
+def _with_source(rows: DataFrame, per: DataFrame, source: str, few: bool, total: int) -> DataFrame:
+    """``rows`` with the columns of ``per``, which has one row per source (``s``) and how many rows it has (``n_docs``)."""
+    if few:
+        return rows.join(F.broadcast(per), F.col(source).eqNullSafe(F.col("s"))).drop("s", "n_docs")
+    key = free_name(rows, "__source")
+    named = lambda c: F.to_json(F.struct(F.col(c).alias("s")))
+    return join_groups(rows.withColumn(key, named(source)), per.withColumn(key, named("s")), [key], "n_docs", total).drop("s", "n_docs", key)
+
+
+PLACE = ("x", "doc_id", "digest", "rid")
+
+
+def cuts(d: DataFrame, t: DataFrame, ws: Workspace, few: bool, total: int, buckets: int, rows_per_task: int) -> DataFrame:
+    """(s, cut, through): per source with a budget the place in order at which it ends, and whether the row there is taken."""
+    live = _with_source(d.where("size > 0").select("source", "size", *PLACE), t.where("budget > 0").select("s", "n_docs", "budget"), "source", few, total).withColumn("before", F.lit(0).cast("long"))
+    level, last = 0, None
+    while True:
+        by_rid = F.min("x") == F.max("x")
+        ranges = live.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_docs"), by_rid.alias("by_rid"), F.when(by_rid, F.min("rid")).otherwise(F.min("x")).alias("lo"), F.when(by_rid, F.max("rid")).otherwise(F.max("x")).alias("hi"))
+        ranges = ws.save(ranges, f"ranges{level}")
+        most = ranges.agg(F.max("n_docs")).first()[0] or 0
+        if most <= rows_per_task or most == last:
+            break
+        ranged = _with_source(live, ranges, "source", few, total)
+        share = (F.when(F.col("by_rid"), F.col("rid")).otherwise(F.col("x")) - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        ranged = ranged.withColumn("b", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor(share * buckets))).otherwise(0).cast("int")).drop("by_rid", "lo", "hi")
+        run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        per = ranged.groupBy("source", "b").agg(F.sum("size").alias("sum"), F.first("before").alias("before"), F.first("budget").alias("budget"), F.count("*").alias("n_docs"))
+        per = per.withColumn("before", F.col("before") + F.coalesce(F.sum("sum").over(run), F.lit(0).cast("long")))
+        ends = ws.save(per.where("before < budget AND before + sum >= budget").select(F.col("source").alias("s"), F.col("b").alias("end"), F.col("before").alias("upto"), "n_docs"), f"ends{level}")
+        inner = _with_source(ranged, ends, "source", few, total).where("b = end")
+        live, last, level = ws.save(inner.select("source", "size", *PLACE, "budget", F.col("upto").alias("before")), f"cut{level}"), most, level + 1
+    order = Window.partitionBy("source").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0).cast("long"))
+    # the document in which the budget ends goes in if at least half of it fits
+    placed = live.withColumn("taken", at + F.col("size") / 2 <= F.col("budget")).withColumn("p", F.struct(*PLACE))
+    last_in = F.max(F.when(F.col("taken"), F.col("p")))
+    return ws.save(placed.groupBy(F.col("source").alias("s")).agg(F.coalesce(last_in, F.min("p")).alias("cut"), last_in.isNotNull().alias("through")), "cuts")
+
+
+def _planned(docs: DataFrame, ws: Workspace, id_col: str, text_col: str, source_col: str, quality: Column | None, weights: tuple[float, ...], max_epochs: int, seed: int, buckets: int, rows_per_task: int, max_broadcast: int) -> tuple[DataFrame, DataFrame, bool, int]:
+    """(rows, per source, whether the latter is small, number of rows)."""
     text = F.col(text_col)
-    key = -F.log(uniform(F.col(id_col), text, seed)) / (letter_share(text) if quality is None else quality)
-    d = ws.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")), "sizes")
-    buckets = max(16, d.count() // rows_per_bucket)
-    t = ws.save(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "targets")
-    few = t.count() <= max_broadcast
+    d = ws.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), log_key(F.col(id_col), text, quality, seed).alias("x"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")), "sizes")
+    sums = ws.save(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")
+    t = targets(sums, weights, max_epochs).withColumnRenamed("source", "s").join(F.broadcast(sums.select(F.col("source").alias("s2"), "n_docs")) if sums.count() <= max_broadcast else sums.select(F.col("source").alias("s2"), "n_docs"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    d = d.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
-
-    per = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("before", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)))
-    t2 = t.select(F.col("source").alias("s"), "budget")
-    per = per.join(F.broadcast(t2) if few else t2, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # the budget ends in the one bucket with before < budget < before + bucket_size
-    ends = ws.save(per.where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("bucket_size") > F.col("budget"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before"), "ends")
-    ends = F.broadcast(ends) if few else ends
-    cut = d.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "digest", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.select("rid", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))).alias("at"))
-    t3 = t.withColumnRenamed("source", "s")
-    out = d.join(F.broadcast(t3) if few else t3, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole = per.where(F.col("before") + F.col("bucket_size") <= F.col("budget")).groupBy("source").agg(F.max("bucket").alias("last")).withColumnRenamed("source", "s")
-    out = out.join(F.broadcast(whole) if few else whole, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(cut, "rid", "left")
-    # the document in which the budget ends goes in if at least half of it fits
-    more = (F.col("bucket") <= F.col("last")) | (F.col("at") + F.col("size") / 2 <= F.col("budget"))
-    times = (F.col("epochs") + F.when(more & (F.col("budget") > 0), 1).otherwise(0)).cast("long")
-    times = F.when(F.col("size") > 0, times).otherwise(0).cast("long")
+    t = ws.save(t, "targets")
+    few, total = t.count() <= max_broadcast, d.count()
+    ends = cuts(d, t, ws, few, total, buckets, rows_per_task).withColumnRenamed("s", "s2")
+    t = t.join(F.broadcast(ends) if few else ends, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
+    return d, ws.save(t, "per_source"), few, total
+
+
+def plan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: int = 7, buckets: int = 4096, rows_per_task: int = 1000, max_broadcast: int = 100_000) -> DataFrame:
+    """Per row of ``docs``: rid, doc_id, size, digest (of the text), source_size, target, times (how often the mix takes it), taken (words)."""
+    d, t, few, total = _planned(docs, ws, id_col, text_col, source_col, quality, weights, max_epochs, seed, buckets, rows_per_task, max_broadcast)
+    out = _with_source(d, t, "source", few, total)
+    place = F.struct(*PLACE)
+    # a budget without a cut is more than all there is, by a rounding error
+    more = (F.col("budget") > 0) & F.coalesce((place < F.col("cut")) | (F.col("through") & (place == F.col("cut"))), F.lit(True))
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.when(more, 1).otherwise(0)).otherwise(0).cast("long")
     return out.select("rid", "doc_id", "source", "size", "digest", "source_size", "target", times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
 
 
-def mix(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_broadcast: int = 2_000_000, **kw) -> DataFrame:
+def mix(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: int = 7, buckets: int = 4096, rows_per_task: int = 1000, max_broadcast: int = 100_000) -> DataFrame:
     """The rows the mix takes, repeated as often as it takes them.
 
-    Rows are told apart by id and a hash of source and text. Rows that agree in
-    these share out their takes: they are numbered, and each gets one of the counts.
+    A second scan of ``docs`` compares each row's place with its source's cut.
+    Only if rows that repeat id and text stand at a cut are those rows numbered.
     """
-    name, mark, times, shared, place = (free_name(docs, x) for x in ("__id", "__mark", "__times", "__shared", "__place"))
-    p = plan(docs, ws, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
-    chosen = p.groupBy(F.col("doc_id").alias(name), F.xxhash64("digest", "source").alias(mark)).agg(F.sort_array(F.collect_list("times"), False).alias(shared))
-    chosen = chosen.withColumn(times, F.col(shared)[0]).where(F.col(times) > 0)
-    chosen = ws.save(chosen.withColumn(shared, F.when(F.size(shared) > 1, F.col(shared))), "chosen")
-    small = chosen.count() <= max_broadcast
-    key = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.col(source_col)) == F.col(mark))
-    out = docs.join(F.broadcast(chosen) if small else chosen, key)
-    if chosen.where(F.col(shared).isNotNull()).limit(1).count():
-        more = out.where(F.col(shared).isNotNull()).withColumn(place, F.row_number().over(Window.partitionBy(name, mark).orderBy(F.lit(1))))
-        more = more.withColumn(times, F.element_at(shared, F.col(place))).where(F.col(times) > 0).drop(place)
-        out = out.where(F.col(shared).isNull()).unionByName(more)
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    d, t, few, total = _planned(docs, ws, id_col, text_col, source_col, quality, weights, max_epochs, seed, buckets, rows_per_task, max_broadcast)
+    key, part, times = (free_name(docs, x) for x in ("__place", "__source", "__times"))
+    three = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in PLACE[:3]])
+    at_cut = _with_source(d.where("size > 0"), t.where("cut IS NOT NULL").select("s", "n_docs", "cut", "through"), "source", few, total).where(F.struct(*PLACE[:3]) == three("cut"))
+    ties = ws.save(at_cut.groupBy(F.col("source").alias("s3")).agg(F.count("*").alias("tied"), F.count_if(F.col("through") & (F.col("rid") <= F.col("cut.rid"))).alias("in_tie")), "ties")
+    per = t.join(F.broadcast(ties) if few else ties, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "n_docs", F.struct("epochs", "budget", three("cut").alias("cut"), F.col("cut").isNotNull().alias("has_cut"), "tied", "in_tie").alias(part))
+    text, p = F.col(text_col), F.col(part)
+    out = docs.withColumn(key, F.struct(log_key(F.col(id_col), text, quality, seed).alias("x"), F.col(id_col).alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")))
+    out = _with_source(out.where(word_count(text) > 0), per, source_col, few, total)
+    tied = p["has_cut"] & (F.col(key) == p["cut"])
+    more = F.when(~p["has_cut"], p["budget"] > 0).when(tied, p["in_tie"] > 0).otherwise(F.col(key) < p["cut"])
+    out = out.withColumn(times, p["epochs"].cast("long") + F.when(more, 1).otherwise(0))
+    split = tied & (p["in_tie"] > 0) & (p["in_tie"] < p["tied"])
+    if ties.where("in_tie > 0 AND in_tie < tied").limit(1).count():
+        place = F.row_number().over(Window.partitionBy(source_col).orderBy(F.lit(1)))
+        some = out.where(split).withColumn(times, F.col(times) - F.when(place > p["in_tie"], 1).otherwise(0))
+        out = out.where(~split).unionByName(some)
+    return out.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir):

@@ -45,6 +45,28 @@ def test_exact_dedup_rows_and_small_filter(spark, ws, limit):
     assert sorted(r.doc_id for r in out.collect()) == list(range(600, 900))
 
 
+def test_exact_dedup_with_several_filters(spark, ws):
+    rows = [(i, f"t{i % 700}" if i % 3 else "hot", "s") for i in range(3000)]
+    want = sorted(map(tuple, exact_dedup.decisions(docs(spark, rows), ws).collect()))
+    got = sorted(map(tuple, exact_dedup.decisions(docs(spark, rows), Workspace(spark), bits_per_row=40, max_filter_bytes=4096).collect()))
+    assert got == want and exact_dedup.cells_for(3000, 40, 4096) == (30000, 4)
+
+
+def test_exact_dedup_lets_other_rows_pass(spark, ws):
+    rows = [(i, f"text {i}", "s") for i in range(4000)] + [(5000 + i, "twice", "s") for i in range(50)]
+    d = docs(spark, rows).select("doc_id", exact_dedup.text_digest(F.col("text")).alias("h"))
+    cells, _ = exact_dedup.cells_for(4050, 16, 1 << 20)
+    flagged = exact_dedup.maybe_repeated(d, "h", exact_dedup.repeated_cells(d, "h", cells), cells, "maybe").where("maybe")
+    assert flagged.where("doc_id >= 5000").count() == 50 and flagged.count() < 50 + 4000 * 0.1
+
+
+@pytest.mark.parametrize("many", [0, 100])
+def test_exact_dedup_of_repeated_rows(spark, ws, many):
+    rows = [(1, "a", "s"), (1, "a", "s"), (2, "a", "s"), (2, "a", "s"), (3, "b", "s"), (None, "c", "s"), (None, "c", "s"), (4, None, "s"), (5, "", "s")]
+    out = exact_dedup.exact_dedup(docs(spark, rows), ws, max_broadcast=many)
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(2, "a"), (3, "b"), (None, "c"), (5, "")], key=str)
+
+
 def test_exact_dedup_empty(spark, ws):
     assert exact_dedup.decisions(docs(spark, []), ws).count() == 0
     assert exact_dedup.exact_dedup(docs(spark, ODD), ws).count() == 5
@@ -80,10 +102,10 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("inline", [100_000, 1])
-def test_decontamination_report(spark, ws, inline):
+@pytest.mark.parametrize("many", [100_000, 1])
+def test_decontamination_report(spark, ws, many):
     b = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = decontaminate.report(docs(spark, TEXTS), b, ws, max_inline=inline)
+    got = decontaminate.report(docs(spark, TEXTS), b, ws, max_broadcast=many)
     assert sorted(map(tuple, got.collect()), key=str) == brute(TEXTS, BENCH)
 
 
@@ -100,12 +122,34 @@ def test_decontamination_drops_and_cuts(spark, ws):
     d = docs(spark, rows).withColumn("__bad", F.lit(1))
     bad = {r[0] for r in brute(rows, BENCH) if r[5]}
     for many in (0, 10):
-        assert {r.doc_id for r in decontaminate.drop_contaminated(d, b, ws, max_broadcast=many).collect()} == {t[0] for t in rows} - bad
+        assert {r.doc_id for r in decontaminate.drop_contaminated(d, b, ws, max_marks=many).collect()} == {t[0] for t in rows} - bad
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(d, b, ws).collect()}
     assert cut[2] == "a   here" and cut[3] is None and cut[6] == TEXTS[5][1]
     assert "w20" not in cut[9] and cut[9].startswith("filler filler")
 
 
+def test_spans_are_cut_from_their_own_row(spark, ws):
+    b = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    rows = [(1, "clean words only", "s"), (1, "see alpha beta gamma delta", "s"), (None, "Alpha beta, gamma delta!", "s"), (None, "clean", "s"), (None, None, "s"), (2, "", "s"), (1, "clean words only", "s")]
+    for many in (0, 10):
+        out = decontaminate.remove_spans(docs(spark, rows), b, Workspace(spark), max_marks=many)
+        assert sorted([r.text for r in out.collect()], key=str) == sorted(["clean words only", "see    ", " ,  !", "clean", None, "", "clean words only"], key=str)
+    assert decontaminate.remove_spans(docs(spark, []), b, ws).count() == 0
+    assert decontaminate.drop_contaminated(docs(spark, []), b, ws).count() == 0
+
+
+@pytest.mark.parametrize("many", [100_000, 1])
+def test_decontamination_of_very_long_texts(spark, ws, many):
+    long = " ".join(f"v{i % 977}" for i in range(60_000))
+    inside = long.split()
+    item = " ".join(f"k{i}" for i in range(300))
+    rows = [(1, long, "s"), (2, " ".join([*inside[:59_000], item, *inside]), "s"), (3, item, "s"), (4, " ".join(f"k{i}" for i in range(3, 16)), "s")]
+    bench = [(7, item), (8, "v976 v0 v1 v2"), (9, "k3")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.report(docs(spark, rows), b, ws, max_broadcast=many)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, bench)
+
+
 def test_license_scan(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + licenses.KNOWN["MIT"].upper().replace("SUBLICENSE", "sub-licence").replace("\n", "\n   ")
     rows = [(1, mit, "s"), (2, "Intro\nLicensed under the Apache Licence, version 2.0\nend", "s"), (3, None, "s"), (4, "", "s"), (5, licenses.KNOWN["MIT"][:-40], "s"), (6, licenses.KNOWN["ISC"], "s"), (6, licenses.KNOWN["ISC"], "s")]
@@ -176,10 +220,34 @@ def test_mix_targets_and_taken(spark, ws):
         assert r.taken <= 3 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 9 for s in sizes)
-    again = mix.plan(docs(spark, rows[::-1]).repartition(3), Workspace(spark), rows_per_bucket=10)
+    again = mix.plan(docs(spark, rows[::-1]).repartition(3), Workspace(spark), buckets=4, rows_per_task=5, max_broadcast=0)
     assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mix_cuts_a_source_of_one_weight(spark, ws):
+    # digits only: every document has the least quality, so all keys are large
+    rows = [(i, " ".join(str(i * 7 + k) for k in range(i % 5 + 1)), "hot" if i % 10 else f"s{i % 3}") for i in range(4000)] + [(9, "1 2 3", "twin")] * 400 + [(i, "1 2 3 4", "a") for i in range(5000, 6000)]
+    d = docs(spark, rows)
+    want = {(r.doc_id, r.source, r.digest): r.taken for r in mix.plan(d, ws).collect()}
+    few = Workspace(spark)
+    got = {(r.doc_id, r.source, r.digest): r.taken for r in mix.plan(d, few, buckets=16, rows_per_task=8).collect()}
+    assert {k: v for k, v in got.items() if k[1] != "twin"} == {k: v for k, v in want.items() if k[1] != "twin"}
+    last = max(int(p) for p in range(9) if _exists(spark, few.path(f"cut{p}")))
+    assert spark.read.parquet(few.path(f"cut{last}")).groupBy("source").count().agg(F.max("count")).first()[0] <= 8
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target, taken = waterfill(sizes), {}
+    for r in mix.mix(d, Workspace(spark), rows_per_task=8).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert all(abs(taken.get(s, 0) - target[s]) <= 5 for s in sizes)
+
+
+def _exists(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def test_mix_takes_repeated_and_null_ids_as_planned(spark, ws):
     rows = [(None if i % 4 == 0 else i % 6, f"some words of {i // 3}", f"s{i % 2}") for i in range(60)] + [(1, "the same text", "s0")] * 5 + [(None, "the same text", "s1")] * 4
     want, p = {}, mix.plan(docs(spark, rows), ws).collect()
