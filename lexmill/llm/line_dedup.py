@@ -5,20 +5,29 @@ order of (doc_id, text). A run is consecutive lines of one document; a run of
 at least ``min_words`` words that also starts earlier in the sequence is a
 later copy, and its lines are removed. Blank lines stay.
 
-Prefix doubling. Level 0 ranks the lines that occur more than once by their
-128-bit ids; level k + 1 ranks the pairs (rank at i, rank at i + 2**k), so
-rank at level k orders all suffixes by their first 2**k lines. Ranks are the
-row ids of the sorted distinct pairs, numbered range by range. A suffix whose
-prefix is unique drops out.
+Suffix array. A line that occurs once ends whatever stands before it, so the
+text is cut into segments of consecutive lines that all occur more than once;
+segments of fewer than ``min_words`` words hold no run. Level 0 ranks their
+lines by 128-bit ids; level k + 1 ranks the pairs (rank at i, rank at i +
+2**k, or none beyond the segment), so rank at level k orders all suffixes by
+their first 2**k lines. Ranks are the row ids of the sorted distinct pairs,
+numbered range by range. Doubling ends when no class of suffixes splits any
+more: the last ranks, and the place in the sequence among equal ones, are the
+suffix array.
+
+Longest common prefixes. Of neighbours in the suffix array the levels tell the
+common prefix from the top down: whenever the ranks of level k agree behind
+what is known to agree, 2**k more lines do.
 
 LCP intervals. What makes a run long enough is decided at its shortest: the
-fewest lines from i on, or up to i, that have ``min_words`` words. Suffixes
-that agree in the m lines of such a run are one LCP interval of depth m, named
-(m, rank of the first 2**k lines, rank of the last 2**k). All but its first
-suffix start a later copy. A longer copied run is covered by the shortest ones
-inside it, from its start, up to its end, or across, so their union is the
-maximal runs; levels beyond log2(min_words) would only order what is already
-removed.
+fewest lines from i on, or up to i, that have ``min_words`` words. A run of m
+lines at a suffix belongs to the interval of depth m around it, which starts
+at the last suffix whose common prefix with the one before is shorter than m.
+All but the interval's first suffix in the sequence start a later copy. A
+longer copied run is covered by the shortest ones inside it, from its start,
+up to its end, or across, so runs that overlap or touch make up the maximal
+ones. Equal suffixes count as one row until the copies are marked, so a group
+of copies of any size is a few rows.
 
 Edge cases: null texts have no lines and stay null; empty ones stay empty; a
 text all of whose lines go becomes empty. Rows that repeat id and text are one
@@ -38,7 +47,7 @@ from pyspark.sql.types import LongType
 from lexmill.llm.common import Workspace, free_name, join_groups, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-LINES = "rid long, doc_id {id}, d64 long, lines array<struct<i:int,h1:long,h2:long,fwd:int,fwd_to:int,bwd:int,bwd_from:int,no:int>>"
+LINES = "rid long, doc_id {id}, d64 long, lines array<struct<i:int,h1:long,h2:long,words:int,fwd:int,fwd_to:int,bwd:int,bwd_from:int,no:int>>"
 
 
 def shortest_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,28 +71,106 @@ def _lines(min_words: int):
                 kept = [(no, line, n) for no, line in enumerate(raw.split(b"\n")) if (n := len(line.split()))]
                 fwd, bwd = shortest_runs(np.array([k[2] for k in kept], np.int64), min_words)
                 rows = []
-                for i, (no, line, _) in enumerate(kept):
+                for i, (no, line, n) in enumerate(kept):
                     h = xxhash.xxh3_128_intdigest(line)
                     f, w = int(fwd[i]), int(bwd[i])
-                    rows.append({"i": i, "h1": (h >> 64) - 2**63, "h2": (h & (2**64 - 1)) - 2**63, "fwd": f, "fwd_to": kept[i + f - 1][0] if f else 0, "bwd": w, "bwd_from": kept[i - w + 1][0] if w else 0, "no": no})
+                    rows.append({"i": i, "h1": (h >> 64) - 2**63, "h2": (h & (2**64 - 1)) - 2**63, "words": n, "fwd": f, "fwd_to": kept[i + f - 1][0] if f else 0, "bwd": w, "bwd_from": kept[i - w + 1][0] if w else 0, "no": no})
                 out.append(rows)
             yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "d64": digests, "lines": out})
 
     return run
 
 
-def _ranked(rows: DataFrame, a: str, b: str, ws: Workspace, level: int, total: int) -> DataFrame:
-    """``rows``, at most ``total``, whose (a, b) occurs more than once, with its rank in place of both."""
-    spark = rows.sparkSession
-    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # row ids rise from one range of sorted pairs to the next, so they are ranks
-    ranks = ws.save(pairs.repartitionByRange(parts, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), f"ranks{level}")
-    out = ws.save(join_groups(rows, ranks, [a, b], "n", total).drop(a, b, "n"), f"level{level}")
-    ws.drop(f"ranks{level}")
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _numbered(df: DataFrame, by: tuple[str, ...], name: str, ws: Workspace, table_name: str) -> DataFrame:
+    """``df`` with row numbers that rise with ``by`` (gaps between ranges)."""
+    # row ids rise from one range of sorted rows to the next
+    return ws.save(df.repartitionByRange(_parts(df), *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()), table_name)
+
+
+def _ranked(rows: DataFrame, a: str, b: str, ws: Workspace, level: int, total: int, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``rows``, at most ``total``, whose (a, b) occurs ``least`` times, with its rank in place of both; and the ranks."""
+    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    ranks = _numbered(pairs, (a, b), "rank", ws, f"ranks{level}")
+    return ws.save(join_groups(rows, ranks, [a, b], "n", total).drop(a, b, "n"), f"level{level}"), ranks
+
+
+def _before(ranks: DataFrame, value: str) -> list[tuple[int, int]]:
+    """(number of a range, the greatest ``value`` of a range before it), one row a range."""
+    rows = ranks.groupBy(F.shiftright("rank", 33).alias("range")).agg(F.max(value).alias("last")).collect()
+    out, last = [], None
+    for r in sorted(rows, key=lambda r: r["range"]):
+        if last is not None:
+            out.append((int(r["range"]), int(last)))
+        last = last if r["last"] is None else r["last"]
     return out
 
 
+def suffix_array(s: DataFrame, ws: Workspace, longest: int) -> tuple[list[DataFrame], DataFrame]:
+    """The levels (rid, i, rank) and the last ranks, from ``s`` (rid, i, to the segment's ``end``, rank of the line)."""
+    total, classes = s.count(), s.select("rank").distinct().count()
+    levels, k = [s.select("rid", "i", "rank")], 0
+    at = Window.partitionBy("rid").orderBy("i")
+    rows = s.select("rid", "i", "end", "rank")
+    while True:
+        step = 2**k
+        beyond = F.when(F.col("i") + step < F.col("end"), F.first("rank").over(at.rangeBetween(step, step))).otherwise(-1)
+        pairs = rows.select("rid", "i", "end", F.col("rank").alias("r1"), beyond.alias("r2"))
+        k += 1
+        rows, ranks = _ranked(pairs, "r1", "r2", ws, k, total)
+        levels.append(rows.select("rid", "i", "rank"))
+        n = ranks.count()
+        if n == classes or 2**k >= longest:
+            return levels, ranks
+        classes = n
+
+
+def neighbours(ranks: DataFrame) -> DataFrame:
+    """(rank, pred): every class of suffixes but the first, and the one before it."""
+    spark = ranks.sparkSession
+    first = spark.createDataFrame(_before(ranks, "rank"), "range long, last long")
+    own = ranks.select("rank", F.shiftright("rank", 33).alias("range"))
+    own = own.join(F.broadcast(first), "range", "left")  # one row a range
+    return own.select("rank", F.when(F.col("rank") % 2**33 > 0, F.col("rank") - 1).otherwise(F.col("last")).alias("pred")).where("pred IS NOT NULL")
+
+
+def common_prefixes(classes: DataFrame, pairs: DataFrame, levels: list[DataFrame], ws: Workspace) -> DataFrame:
+    """(rank, lcp): lines that a class (rank, rid, i) and the one before it have in common."""
+    a = classes.select("rank", F.col("rid").alias("rid1"), F.col("i").alias("i1"))
+    b = classes.select(F.col("rank").alias("pred"), F.col("rid").alias("rid2"), F.col("i").alias("i2"))
+    cur = pairs.join(a, "rank").join(b, "pred").select("rank", "rid1", "i1", "rid2", "i2", F.lit(0).alias("lcp"))
+    for k in range(len(levels) - 1, -1, -1):
+        x = levels[k].select(F.col("rid").alias("rid1"), F.col("i").alias("p1"), F.col("rank").alias("x"))
+        y = levels[k].select(F.col("rid").alias("rid2"), F.col("i").alias("p2"), F.col("rank").alias("y"))
+        cur = cur.withColumn("p1", F.col("i1") + F.col("lcp")).withColumn("p2", F.col("i2") + F.col("lcp"))
+        cur = cur.join(x, ["rid1", "p1"], "left").join(y, ["rid2", "p2"], "left")
+        cur = cur.withColumn("lcp", F.col("lcp") + F.when(F.col("x") == F.col("y"), 2**k).otherwise(0)).drop("x", "y", "p1", "p2")
+        if k % 4 == 0:
+            cur = ws.save(cur, f"lcp{k}")
+    return cur.select("rank", "lcp")
+
+
+def intervals(depths: DataFrame, ws: Workspace) -> DataFrame:
+    """``depths`` (rank as cls, m, lcp) with ``interval``: the number of its first row."""
+    d = _numbered(depths, ("m", "cls"), "rank", ws, "depths").withColumn("start", F.when(F.col("lcp") < F.col("m"), F.col("rank"))).withColumn("range", F.shiftright("rank", 33))
+    carried = d.sparkSession.createDataFrame(_before(d, "start"), "range long, last long")
+    run = Window.partitionBy("range").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("own", F.last("start", ignorenulls=True).over(run)).join(F.broadcast(carried), "range", "left")  # one row a range
+    return d.select("cls", "m", F.coalesce("own", "last").alias("interval"))
+
+
+def segments(flat: DataFrame, min_words: int) -> DataFrame:
+    """Rows of consecutive lines that make up ``min_words`` words, with their segment's ``start`` and ``end`` (exclusive)."""
+    doc = Window.partitionBy("rid").orderBy("i")
+    d = flat.withColumn("seg", F.col("i") - F.row_number().over(doc))
+    seg = Window.partitionBy("rid", "seg")
+    d = d.withColumn("start", F.min("i").over(seg)).withColumn("end", F.max("i").over(seg) + 1).withColumn("all", F.sum("words").over(seg))
+    return d.where(F.col("all") >= min_words).drop("seg", "all", "words")
+
+
 def copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Maximal runs of later copies: (doc_id, d64, from, to), line numbers from 0 and inclusive."""
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -91,30 +178,29 @@ def copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
     lines = ws.save(d.mapInPandas(_lines(min_words), LINES.format(id=id_type)), "lines")
     flat = lines.select("rid", "doc_id", "d64", F.explode("lines").alias("l")).select("rid", "doc_id", "d64", "l.*")
     total = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
-    first = _ranked(flat, "h1", "h2", ws, 0, total)
-    ws.drop("lines")
-    deepest = first.agg(F.max(F.greatest("fwd", "bwd"))).first()[0] or 0
-    levels = [first.select(F.lit(0).alias("k"), "rid", "i", "rank")]
-    k = 0
-    while 2 ** (k + 1) <= deepest:
-        step = 2**k
-        at = Window.partitionBy("rid").orderBy("i").rangeBetween(step, step)
-        pairs = levels[-1].select("rid", "i", F.col("rank").alias("r1"), F.first("rank").over(at).alias("r2")).where(F.col("r2").isNotNull())
-        k += 1
-        levels.append(_ranked(pairs, "r1", "r2", ws, k, levels[-1].count()).select(F.lit(k).alias("k"), "rid", "i", "rank"))
-
-    fwd = first.where("fwd > 0").select("rid", "doc_id", "d64", F.col("i").alias("s"), F.col("fwd").alias("m"), F.col("no").alias("from"), F.col("fwd_to").alias("to"))
-    bwd = first.where("bwd > 0").select("rid", "doc_id", "d64", (F.col("i") - F.col("bwd") + 1).alias("s"), F.col("bwd").alias("m"), F.col("bwd_from").alias("from"), F.col("no").alias("to"))
-    runs = fwd.unionByName(bwd).distinct().withColumn("k", (F.length(F.bin("m")) - 1).cast("int"))
-    runs = runs.withColumn("e", (F.col("s") + F.col("m") - F.expr("shiftleft(1, k)")).cast("int"))
-    names = levels[0]
-    for x in levels[1:]:
-        names = names.unionByName(x)
-    runs = runs.join(names.select("k", "rid", F.col("i").alias("s"), F.col("rank").alias("a")), ["k", "rid", "s"])
-    runs = ws.save(runs.join(names.select("k", "rid", F.col("i").alias("e"), F.col("rank").alias("b")), ["k", "rid", "e"]), "runs")
+    often, _ = _ranked(flat, "h1", "h2", ws, 0, total, least=2)
+    s = ws.save(segments(often, min_words), "segments")
+    ws.drop("lines", "level0")
+    levels, ranks = suffix_array(s, ws, s.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0)
+
     pos = F.struct("doc_id", "d64", "s")
-    intervals = ws.save(runs.groupBy("m", "a", "b").agg(F.min(pos).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
-    later = join_groups(runs, intervals, ["m", "a", "b"], "n", runs.count()).where(F.col("first") != pos).select("doc_id", "d64", "from", "to").distinct()
+    of = levels[-1].withColumnRenamed("i", "s")
+    classes = of.join(s.select("rid", F.col("i").alias("s"), "doc_id", "d64"), ["rid", "s"]).groupBy("rank").agg(F.min(F.struct("rid", "s")).alias("at"), F.min(pos).alias("first"))
+    classes = ws.save(classes.select("rank", "at.rid", F.col("at.s").alias("i"), "first"), "classes")
+    lcp = ws.save(common_prefixes(classes, neighbours(ranks), levels, ws), "lcp")
+
+    fwd = s.where((F.col("fwd") > 0) & (F.col("i") + F.col("fwd") <= F.col("end"))).select("rid", "doc_id", "d64", F.col("i").alias("s"), F.col("fwd").alias("m"), F.col("no").alias("from"), F.col("fwd_to").alias("to"))
+    begin = F.col("i") - F.col("bwd") + 1
+    bwd = s.where((F.col("bwd") > 0) & (begin >= F.col("start"))).select("rid", "doc_id", "d64", begin.alias("s"), F.col("bwd").alias("m"), F.col("bwd_from").alias("from"), F.col("no").alias("to"))
+    runs = ws.save(fwd.unionByName(bwd).distinct().join(of, ["rid", "s"]), "runs")
+    depths = runs.groupBy(F.col("rank").alias("cls"), "m").agg(F.count("*").alias("n"))
+    depths = ws.save(depths, "counts").join(lcp.withColumnRenamed("rank", "cls"), "cls", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    known = intervals(depths.select("cls", "m", "lcp"), ws)
+    firsts = known.join(classes.select(F.col("rank").alias("cls"), "first"), "cls")
+    oldest = ws.save(firsts.groupBy("interval").agg(F.min("first").alias("first"), F.count("*").alias("members")), "oldest")
+    groups = join_groups(known, oldest, ["interval"], "members", depths.count()).join(depths.select("cls", "m", "n"), ["cls", "m"]).select(F.col("cls").alias("rank"), "m", "n", "first")
+    groups = ws.save(groups, "intervals")
+    later = join_groups(runs, groups, ["rank", "m"], "n", runs.count()).where(F.col("first") != pos).select("doc_id", "d64", "from", "to").distinct()
     # runs that overlap or touch are one maximal run
     doc = Window.partitionBy("doc_id", "d64").orderBy("from", "to")
     reach = F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1))
