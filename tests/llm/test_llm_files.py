@@ -135,6 +135,32 @@ def test_token_ids_round_trip(spark):
     assert [r[0] for r in got[True]] == [i for i, _ in ordered]
 
 
+def test_token_ids_of_other_id_types(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    for kind, ids in (("string", ["b", "a", None, "10", "a"]), ("long", [2**62 + 1, 2**62, None, -5, 2**62]), ("date", None)):
+        rows = [(i, f"text number {k}") for k, i in enumerate(ids or [f"2020-01-0{k}" for k in (3, 1, 2)])]
+        d = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'date' else kind}, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        ws = Workspace(spark)
+        got = sorted(token_ids.encoded(d, ws, path, shards=2).collect(), key=lambda r: r.start)
+        want = [r[0] for r in d.orderBy(F.col("doc_id").asc_nulls_first()).select("doc_id").collect()]
+        assert [r.doc_id for r in got] == want and got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+        ws.close()
+
+
+def test_token_ids_by_word_only_under_its_rules(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import json
+
+    path = public.path("word_bpe_49k.json")
+    rules = json.load(open(path, encoding="utf-8"))
+    assert token_ids.cuts_at_blanks(path)
+    for k, v in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "[CLS]"}])):
+        other = tmp_path / "t.json"
+        other.write_text(json.dumps(rules | {k: v}), "utf-8")
+        assert not token_ids.cuts_at_blanks(str(other))
+
+
 def test_token_ids_empty(spark):
     public = pytest.importorskip("public_tokenizers")
     ws = Workspace(spark)
