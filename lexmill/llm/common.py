@@ -93,3 +93,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     many = rows.join(F.broadcast(hot), keys)
     few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return many.unionByName(few)
+
+
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, counts: DataFrame, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups``, whose rows may be large, with ``counts`` (key, n): how many rows each key has.
+
+    A key with more than its share of a task has its group copied once for
+    every share, and its rows dealt over the copies by ``spread``: at most
+    4 * partitions copies in all, and only their keys are broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, total // (2 * parts))
+    salts, salt = free_name(rows, "__salts"), free_name(rows, "__salt")
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias(salts)))
+    times = F.coalesce(salts, F.lit(1))
+    left = rows.join(hot, key, "left").withColumn(salt, F.pmod(spread, times).cast("int")).drop(salts)
+    right = groups.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), times - 1))).drop(salts)
+    return left.join(right, [key, salt], how).drop(salt)

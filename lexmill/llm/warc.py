@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, join_groups, table
+from lexmill.llm.common import Workspace, join_groups, join_salted, table
 from lexmill.llm.exact_dedup import probed
 
 CRLF = "\r\n"
@@ -104,14 +104,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     h = spark.read.schema(HEADERS).parquet(f"{path}/headers")
     id_type = spark.read.schema(META).parquet(f"{path}/meta").first()["id_type"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(1, h.count() // (2 * parts))
-    # at most 2 * partitions digests have more than a share
-    hot = h.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    left = h.join(F.broadcast(hot), "digest", "left").select("digest", "header", F.pmod(F.xxhash64("header"), salts).cast("int").alias("salt"))
-    right = stored_payloads(spark, path).join(F.broadcast(hot), "digest", "left").select("digest", "payload", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    j = left.join(right, ["digest", "salt"], "left").withColumn("lines", F.split(F.decode("header", "UTF-8"), CRLF))
+    counts = h.groupBy("digest").agg(F.count("*").alias("n"))
+    j = join_salted(h, stored_payloads(spark, path), "digest", counts, h.count(), F.xxhash64("header"), "left").withColumn("lines", F.split(F.decode("header", "UTF-8"), CRLF))
     kind, end = _field("WARC-Type"), F.encode(F.lit(CRLF * 2), "UTF-8")
     block = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     whole = F.col("payload").isNotNull() & (F.length(block) == _field("Content-Length").cast("int")) & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha256:"), "digest"))
