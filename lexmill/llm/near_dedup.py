@@ -5,8 +5,12 @@ the ``SKETCH`` smallest hashes. Texts with equal sets are one node. Two nodes
 are linked if 100 * |A & B| >= 75 * |A | B|.
 
 Candidates. Of linked nodes' sketches, about 75 in 100 values agree; the sure
-part used here is 44 in 100 (at J = 0.75 a miss in a million pairs where one
-set contains the other, in some 10^11 where they are of equal size). Sketches
+part used by default is 44 in 100 (at J = 0.75 a miss in a million pairs where
+one set contains the other, in some 10^11 where they are of equal size, for
+sets much larger than a sketch). ``sketch`` and ``sure`` are parameters, and
+``sketch=0`` is the exact way: whole sets instead of sketches, of which linked
+ones surely share 75 in 100, at the price of a list entry for every fourth
+shingle. Sketches
 that agree in o of k values share one of their first k - o + 1 values in any
 common order, so a node enters only the inverted lists of that many values,
 rarest first. A node whose values are mostly its own enters none, however
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, free_name, table
+from lexmill.llm.common import Workspace, free_name, join_salted, table
 from lexmill.llm.shingles import SKETCH, _Words, shingle_set
 
 LINK = (75, 100)
@@ -49,14 +53,14 @@ SURE = 0.44
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1_000_000
 
 
-def _sketches(size: int):
+def _sketches(size: int, sketch: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         words = _Words()
         for b in batches:
             sets = [shingle_set(t, words, size) for t in b["text"]]
-            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "d64": b["d64"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "sketch": [s[:SKETCH].view(np.int64) for s in sets]})
+            yield pd.DataFrame({"rid": b["rid"], "doc_id": b["doc_id"], "d64": b["d64"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "sketch": [(s[:sketch] if sketch else s).view(np.int64) for s in sets]})
 
     return run
 
@@ -85,8 +89,11 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
     return np.searchsorted(both, union[-1], "right") / len(union)
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between left and right members (positions) that join two parts of the block."""
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, sketch: int = SKETCH, sure: float = SURE) -> list[tuple[int, int]]:
+    """Links between left and right members (positions) that join two parts of the block.
+
+    Pairs are tried in order of their sketches' overlap; without ``sketch`` it rules out none.
+    """
     parent = list(range(len(nodes)))
 
     def root(i: int) -> int:
@@ -95,20 +102,21 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
             i = parent[i]
         return i
 
-    sketches = [s[:SKETCH] for s in sets]
+    k = sketch or SKETCH
+    sketches = [s[:k] for s in sets]
     n = np.array([len(s) for s in sets])
     values, at = np.unique(np.concatenate(sketches), return_inverse=True)
     seen = np.zeros((len(sets), len(values)), np.float32)
     seen[np.repeat(np.arange(len(sets)), [len(s) for s in sketches]), at] = 1
     seen = seen[:, seen.sum(0) > 1]
     overlap = seen[left] @ seen[right].T
-    least = np.maximum(1, np.floor(SURE * np.minimum(n, SKETCH)))
+    least = np.maximum(1, np.floor(sure * np.minimum(n, k))) if sketch else np.zeros(len(sets))
     a, b = n[left][:, None], n[right][None, :]
     near = (overlap >= np.maximum(least[left][:, None], least[right][None, :])) & (LINK[1] * np.minimum(a, b) >= LINK[0] * np.maximum(a, b)) & (left[:, None] != right[None, :])
     li, ri = np.nonzero(near)
     out = []
-    for k in np.argsort(-overlap[li, ri], kind="stable"):
-        i, j = int(left[li[k]]), int(right[ri[k]])
+    for x in np.argsort(-overlap[li, ri], kind="stable"):
+        i, j = int(left[li[x]]), int(right[ri[x]])
         ti, tj = root(i), root(j)
         if ti != tj and linked(sets[i], sets[j]):
             parent[max(ti, tj)] = min(ti, tj)
@@ -116,12 +124,15 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
     return out
 
 
-def _compare(t: pa.Table) -> pa.Table:
-    """A block: its rows are (node, side, set), side 1 for the left, 2 for the right, 3 for both."""
-    frame = t.select(["node", "side", "set"]).to_pandas().groupby("node", as_index=False).agg({"side": lambda s: int(np.bitwise_or.reduce(s)), "set": "first"})
-    sets, side = [np.frombuffer(s, np.uint64) for s in frame["set"]], frame["side"].to_numpy()
-    found = block_links(frame["node"].to_numpy(), sets, np.flatnonzero(side & 1), np.flatnonzero(side & 2))
-    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+def _compare(sketch: int, sure: float):
+    def run(t: pa.Table) -> pa.Table:
+        """A block: its rows are (node, side, set), side 1 for the left, 2 for the right, 3 for both."""
+        frame = t.select(["node", "side", "set"]).to_pandas().groupby("node", as_index=False).agg({"side": lambda s: int(np.bitwise_or.reduce(s)), "set": "first"})
+        sets, side = [np.frombuffer(s, np.uint64) for s in frame["set"]], frame["side"].to_numpy()
+        found = block_links(frame["node"].to_numpy(), sets, np.flatnonzero(side & 1), np.flatnonzero(side & 2), sketch, sure)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
 
 
 def _star_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,16 +141,16 @@ def _star_check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["pivot", "node"]]
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, sure: float = SURE) -> DataFrame:
     """(pivot, node): the members of every cluster, each pivot a member of its own."""
-    entries = nodes.select("node", F.least("n", F.lit(SKETCH)).cast("int").alias("k"), F.explode("sketch").alias("value"))
+    entries = nodes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     e = entries.join(shared, "value")
     node = Window.partitionBy("node")
     own = F.col("k") - F.count("*").over(node)
     e = e.withColumn("own", own).withColumn("rank", F.row_number().over(node.orderBy("df", "value")))
-    sure = F.greatest(F.lit(1), F.floor(F.col("k") * SURE))
-    e = e.where(F.col("rank") + F.col("own") <= F.col("k") - sure + 1).select("value", "node", "own")
+    shared = F.greatest(F.lit(1), F.floor(F.col("k") * sure))
+    e = e.where(F.col("rank") + F.col("own") <= F.col("k") - shared + 1).select("value", "node", "own")
     lists = e.groupBy("value").agg(F.min(F.struct("own", "node")).alias("p"), F.count("*").alias("size")).where("size > 1").select("value", F.col("p.node").alias("pivot"))
     return e.join(lists, "value").select("pivot", "node").distinct()
 
@@ -164,9 +175,9 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         state = tuple(now)
 
 
-def links(docs: DataFrame, nodes: DataFrame, ws: Workspace, text_col: str, size: int, max_broadcast: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, ws: Workspace, text_col: str, size: int, max_broadcast: int, sketch: int = SKETCH, sure: float = SURE) -> DataFrame:
     """(a, b): verified links that span every component."""
-    members = ws.save(candidates(nodes), "members")
+    members = ws.save(candidates(nodes, sure), "members")
     wanted = ws.save(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "rep", "n"), "wanted")
     ids = wanted.select(F.col("rep").alias("id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= max_broadcast else ids
@@ -179,7 +190,10 @@ def links(docs: DataFrame, nodes: DataFrame, ws: Workspace, text_col: str, size:
     whole = members.join(sizes.where("blocks = 1").select("pivot"), "pivot").select("pivot", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(3).alias("side"))
 
     large = members.join(sizes.where("blocks > 1").select("pivot", "blocks"), "pivot")
-    with_sets = large.where("node <> pivot").join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+    with_sets = large.where("node <> pivot").join(sets.select("node", "set"), "node")
+    pivots = sizes.where("blocks > 1").select("pivot", F.col("members").alias("n"))
+    pivot_sets = pivots.select(F.col("pivot").alias("node")).join(sets.select("node", F.col("set").alias("pivot_set")), "node").withColumnRenamed("node", "pivot")
+    with_sets = join_salted(with_sets, pivot_sets, "pivot", pivots, pivots.agg(F.sum("n")).first()[0] or 0, F.xxhash64("node"))
     star = ws.save(with_sets.select("pivot", "node", "set", "pivot_set").mapInPandas(_star_check, "pivot long, node long"), "star")
     rest = ws.save(large.where("node <> pivot").join(star, ["pivot", "node"], "left_anti"), "rest")
     left_blocks = rest.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("left_blocks")).join(sizes.select("pivot", "blocks"), "pivot").withColumn("left_blocks", F.least("blocks", F.greatest("left_blocks", F.lit(1))))
@@ -188,18 +202,19 @@ def links(docs: DataFrame, nodes: DataFrame, ws: Workspace, text_col: str, size:
     left = rest.join(lb, "pivot").select("pivot", (rnd % F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", F.lit(1).alias("side"))
     right = large.join(lb, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), (rnd % F.col("blocks")).cast("int").alias("j"), "node", F.lit(2).alias("side"))
     blocks = whole.unionByName(left).unionByName(right).join(sets.select("node", "set"), "node")
-    found = blocks.groupBy("pivot", "i", "j").applyInArrow(_compare, "a long, b long")
+    found = blocks.groupBy("pivot", "i", "j").applyInArrow(_compare(sketch, sure), "a long, b long")
     return found.union(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
 
-def classes(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Per row of ``df``: rid, doc_id, d64 (a hash of the text), n_shingles, component_id, kept."""
+def classes(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", size: int = 5, max_broadcast: int = 1_000_000, sketch: int = SKETCH, sure: float = SURE) -> DataFrame:
+    """Per row of ``df``: rid, doc_id, d64 (a hash of the text), n_shingles, component_id, kept; with ``sketch=0`` no link is missed."""
+    sure = sure if sketch else LINK[0] / LINK[1]
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("d64"), "text")
-    d = ws.save(rows.mapInPandas(_sketches(size), f"rid long, doc_id {id_type}, d64 long, n long, digest string, sketch array<long>"), "sketches")
+    d = ws.save(rows.mapInPandas(_sketches(size, sketch), f"rid long, doc_id {id_type}, d64 long, n long, digest string, sketch array<long>"), "sketches")
     nodes = ws.save(d.where("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    roots = components(ws.save(links(docs, nodes, ws, text_col, size, max_broadcast), "links"), ws)
+    roots = components(ws.save(links(docs, nodes, ws, "text", size, max_broadcast, sketch, sure), "links"), ws)
     ws.drop("sets", "members", "star", "rest", "sizes", "wanted")
     of = nodes.select("digest", "node", "rep").join(roots, "node").select("digest", "rep", "root")
     of = of.join(of.groupBy("root").agg(F.min("rep").alias("c")), "root").select("digest", "c")

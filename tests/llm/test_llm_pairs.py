@@ -76,6 +76,41 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, blocks):
     ws.close()
 
 
+def test_near_dedup_exact_way_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 16)
+    rows = corpus(5, 8, 7, 90)
+    ws = Workspace(spark)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), ws, sketch=0).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == brute_classes(rows)
+    ws.close()
+
+
+def test_near_dedup_recall_just_above_the_threshold(spark):
+    r = random.Random(4)
+    rows, pairs = [], 0
+    while pairs < 600:
+        base = [f"p{pairs}w{i}" for i in range(r.choice([60, 150, 400]))]
+        other, kind = list(base), r.randrange(2)
+        if kind:  # one contains the other
+            other += [f"p{pairs}x{i}" for i in range(r.randrange(len(base) // 2))]
+        else:
+            for i in r.sample(range(len(base)), max(1, len(base) // 36)):
+                other[i] = f"p{pairs}y{i}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        if 0.75 <= len(a & b) / len(a | b) < 0.80:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark)).collect()
+    assert {r.doc_id for r in got if r.component_id != r.doc_id} == set(range(1, 2 * pairs, 2))
+
+
+def test_near_dedup_of_very_long_texts(spark):
+    long = " ".join(f"w{i % 9973}z{i // 9973}" for i in range(60_000))
+    rows = [(1, long), (2, long + " tail"), (3, " ".join(long.split()[30_000:])), (4, "tail")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark)).collect()}
+    assert got == {1: (59_996, 1), 2: (59_997, 1), 3: (29_996, 3), 4: (1, 4)}
+
+
 def test_near_dedup_rows_and_edges(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, ""), (9, "other words are here now"), (9, "other words are here now")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__id", F.lit(1)).withColumn("digest", F.lit("x"))
@@ -165,6 +200,36 @@ def test_line_dedup_repeated_rows_and_empty(spark):
     assert line_dedup.line_dedup(d.where("false"), Workspace(spark)).count() == 0
 
 
+def test_suffix_array_and_common_prefixes(spark):
+    r = random.Random(8)
+    segments = [[r.randrange(2) for _ in range(r.randrange(1, 12))] for _ in range(60)] + [[0] * 9] * 3
+    rows = [(seg, i, len(x), c) for seg, x in enumerate(segments) for i, c in enumerate(x)]
+    ws = Workspace(spark)
+    s = ws.save(spark.createDataFrame(rows, "rid long, i int, end int, rank long"), "s")
+    levels, ranks = line_dedup.suffix_array(s, ws, 12)
+    got = {(x.rid, x.i): x.rank for x in levels[-1].collect()}
+    order = sorted(got, key=lambda k: segments[k[0]][k[1] :])
+    by = sorted(got, key=lambda k: got[k])
+    assert [segments[a][i:] for a, i in order] == [segments[a][i:] for a, i in by]
+    assert len(set(got.values())) == len({tuple(segments[a][i:]) for a, i in got})
+    classes = levels[-1].groupBy("rank").agg(F.min(F.struct("rid", "i")).alias("at")).select("rank", "at.rid", "at.i")
+    lcp = {x["rank"]: x.lcp for x in line_dedup.common_prefixes(classes, line_dedup.neighbours(ranks), levels, ws).collect()}
+    text = {k: segments[a][i:] for (a, i), k in got.items()}
+    known = sorted(text)
+    for a, b in zip(known, known[1:]):
+        n = next((j for j, (x, y) in enumerate(zip(text[a], text[b])) if x != y), min(len(text[a]), len(text[b])))
+        assert lcp[b] == n
+    assert set(lcp) == set(known[1:])
+    ws.close()
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    t = "\n".join(f"line {i % 700} of {i // 350}" for i in range(4000))
+    rows = [(1, t), (2, "own line\n" + t + "\nlast line"), (3, "\n".join(f"one {i}" for i in range(5000)))]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark)).collect()}
+    assert got == {1: t, 2: "own line\nlast line", 3: rows[2][1]}
+
+
 def test_shortest_runs():
     f, b = line_dedup.shortest_runs(np.array([3, 4, 1, 9]), 5)
     assert f.tolist() == [2, 2, 2, 1] and b.tolist() == [0, 2, 2, 1]
