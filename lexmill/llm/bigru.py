@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 GRAMS = (4, 5, 6)
 _P = np.uint64(0x9E3779B97F4A7C15)
 

@@ -4,7 +4,8 @@ The net is trained in numpy on the driver, on at most ``max_labels`` labelled
 rows with texts of at most ``max_chars`` (in order of a hash of their id). Of
 each text the window with the highest score is the one that learns, so a label
 is about the worst window. Scoring is a map over Arrow batches of whole texts:
-a text's score is that of its worst window.
+a text's score is that of its worst window. Windows start every half window,
+so any passage of half a window stands whole in one.
 
 Vocabularies come from the learning texts: words and character n-grams in
 enough of them whose frequency differs most between the classes.
@@ -12,7 +13,9 @@ enough of them whose frequency differs most between the classes.
 Edge cases: null and empty texts, and texts without a letter or digit, are one
 window without words and get the net's base score. Labels other than 0 and 1
 and labels without a document are left out. Without both classes every score
-is the share of toxic labels, or 0.
+is the share of toxic labels, or 0. Repeated rows score alike to single
+precision (what else is in a batch moves the last digits); an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -181,8 +184,14 @@ def score_udf(net: bigru.Net):
     return score
 
 
+def scores(docs: DataFrame, net: bigru.Net, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns score and predicted; its own columns of these names are replaced."""
+    keep = [docs[c] for c in docs.columns if c.lower() not in ("score", "predicted")]
+    out = docs.select(*keep, score_udf(net)(docs[text_col]).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    net = fit(docs, table(spark, sf_dir, "labels"))
-    out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score_udf(net)("text").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = scores(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

@@ -88,6 +88,36 @@ def test_held_out_accuracy_on_tables(spark):
         assert sum(r.predicted == r[label] for r in h) / len(h) > floor
 
 
+def test_toxicity_finds_held_out_rows(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    h = toxicity.op7_toxicity(spark, SF).where("held_out").join(labels.where("toxic IN (0, 1)"), "doc_id").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in h)
+    assert hit >= 0.8 * sum(r.toxic for r in h) and hit >= 0.6 * sum(r.predicted for r in h)
+
+
+def test_toxic_passages_are_found_at_every_offset():
+    rows = invented(1, 400)
+    scorer = toxicity.Scorer(toxicity.learn([t for t, _ in rows], np.array([y for _, y in rows])))
+    cue = ["grumpzor"] + ["w" + "abcdefgh"[i % 8] * 5 for i in range(20)] + ["flumpo"]
+    texts = [" ".join(["wabcde"] * i + cue + ["wabcde"] * (200 - i)) for i in range(130)]
+    assert (scorer.scores(texts) >= 0.5).all()
+
+
+def test_toxicity_edges(spark):
+    rows = invented(3, 120)
+    net = toxicity.learn([t for t, _ in rows], np.array([y for _, y in rows]))
+    d = spark.createDataFrame([(1, None), (1, ""), (2, "grumpzor flumpo"), (2, "grumpzor flumpo"), (None, "x " * 50_000)], "doc_id long, text string").withColumn("SCORE", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    out = toxicity.scores(d, net)
+    assert out.columns == ["doc_id", "text", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert abs(got[0].score - got[1].score) < 1e-6 and abs(got[2].score - got[3].score) < 1e-6
+    assert toxicity.scores(d.where("false"), net).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    none = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert toxicity.scores(empty, none).count() == 0 and toxicity.Scorer(none).scores(["a", None]).max() < 0.01
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (3, "Plain words stand here. And more of them follow.\nThen it ends."), (4, " | ".join(["thndou", "erhaha", "eaernd", "ertible", "eronin"] * 12)), (5, "x " * 20_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("n_words", F.lit(0))
