@@ -145,7 +145,7 @@ def _titled(name: str) -> list[str]:
 def _known() -> dict[str, str]:
     """All forms by id: a licence's first has its id, further ones have a number after it; notices have -notice."""
     out = dict(SHORT)
-    forms = {n: _titled(n) for n in TITLES} | {n: _published(n) for n in FILES} | {f"{n}-notice": _notices(x) for n, x in _names().items()}
+    forms = {n: _titled(n) for n in TITLES} | {n: _published(n) for n in FILES} | {f"{n}-notice": _notices(x) for n, x in _names().items()} | {"All-rights-reserved-notice": ["All rights reserved."]}
     words = lambda t: " ".join(re.findall(r"[^\W_]+", re.sub(COPYRIGHT_LINE, " ", t.lower())))
     seen = set(map(words, out.values()))
     for name, texts in forms.items():
@@ -159,11 +159,16 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 
 
+def _wide(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def _folded(c: Column) -> Column:
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")), F.lit(" "))
+    # every word has blanks of its own, so that neighbours are both replaced
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(spaced)
+        spaced = F.replace(spaced, F.lit(f" {_wide(a)} "), F.lit(f" {_wide(b)} "))
+    return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
 
 
 def canonical(c: Column) -> Column:
@@ -207,10 +212,10 @@ def op3_license_scan(spark, sf_dir):
 
 
 def _sql_folded(x: str) -> str:
-    x = f"' ' || trim(regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+    x = f"' ' || trim(regexp_replace({x}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g')) || ' '"
     for a, b in SPELLINGS:
-        x = f"replace({x}, ' {a} ', ' {b} ')"
-    return f"trim({x})"
+        x = f"replace({x}, ' {_wide(a)} ', ' {_wide(b)} ')"
+    return f"trim(replace({x}, '  ', ' '))"
 
 
 def _sql_canonical(x: str) -> str:
@@ -223,7 +228,7 @@ WITH k AS (SELECT sha256({_sql_canonical("text")}) AS k, min(license_id) AS lice
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_sql_canonical("text")}) AS canon_sha256 FROM documents),
 l AS (SELECT rid, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM d),
 n AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-      FROM (SELECT rid, sha256({_sql_folded("line")}) AS k FROM l WHERE regexp_matches(line, 'licen[cs]e')) JOIN k USING (k) GROUP BY rid)
+      FROM (SELECT rid, sha256({_sql_folded("line")}) AS k FROM l) JOIN k USING (k) GROUP BY rid)
 SELECT doc_id, canon_sha256, license_id, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k ON d.canon_sha256 = k.k LEFT JOIN n USING (rid)
 """

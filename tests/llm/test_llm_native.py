@@ -161,6 +161,21 @@ def test_license_scan(spark):
     assert licenses.scan(docs(spark, rows), known.where("false")).where("license_id is not null").count() == 0
 
 
+def test_license_spellings_of_neighbours(spark):
+    texts = ["The licence licence is licenced", "a sub-licence sub licence of organisation organisation", "favour", "licences"]
+    d = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = [r.c for r in d.orderBy("doc_id").select(licenses.canonical(F.col("text")).alias("c")).collect()]
+    assert got == ["the license license is licensed", "a sublicense sublicense of organization organization", "favor", "licences"]
+
+
+def test_license_scan_with_clashing_columns(spark):
+    d = docs(spark, [(1, licenses.KNOWN["MIT"], "s"), (2, "words\nAll rights reserved.", "s"), (3, "x " * 100_000, "s")])
+    for c in ("k", "t", "lines", "license_id", "notices", "canon_sha256"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan(d, licenses.known_licenses(spark)).collect()}
+    assert got == {1: ("MIT", ""), 2: (None, "All-rights-reserved-notice"), 3: (None, "")}
+
+
 def test_license_scan_digests_every_line(spark):
     one_line = [(n, " ".join(licenses.KNOWN[n].split())) for n in ("ISC", "0BSD", "Zlib", "BSD-2-Clause")]
     assert all(not re.search("licen[cs]e", t.lower()) for n, t in one_line)
