@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
-# Words that carry no identity in a party's name.
-STOPWORDS = ("DE", "DO", "DA", "DOS", "DAS", "E", "EM", "NO", "NA", "A", "O")
-COMPANY_FORMS = ("LTDA", "ME", "EPP", "EIRELI", "SA", "S", "CIA")
-ROLES = ("EXECUTADO", "EXECUTADA", "REQUERIDO", "REQUERIDA", "REU", "RECORRIDO", "RECORRIDA", "APELADO", "APELADA", "AGRAVADO", "AGRAVADA")
-PLACEHOLDERS = ("INFORMACAO PROTEGIDA", "NAO INFORMADO", "SIGILOSO")
-ACRONYM_MAX = 6
+# Words that carry no identity in a party's name. Single letters are initials there ("A&E"), and connectives
+# only in the looser key of lists.
+STOPWORDS = ("DA", "DE", "DO", "DAS", "DOS", "EM", "NO", "NA", "NOS", "NAS", "AS", "OS")
+LOOSE_STOPWORDS = (*STOPWORDS, "E", "A", "O")
+COMPANY_FORMS = ("SA", "S", "A", "LTDA", "ME", "EPP", "EIRELI", "MEI", "CIA")
+ROLES = (
+    "REQUERIDO", "REQUERIDA", "REQUERENTE", "IMPETRADO", "IMPETRADA", "IMPETRANTE", "EXECUTADO", "EXECUTADA", "EXEQUENTE", "AUTOR", "AUTORA", "REU", "RE",
+    "RECORRENTE", "RECORRIDO", "RECORRIDA", "APELANTE", "APELADO", "APELADA", "AGRAVANTE", "AGRAVADO", "AGRAVADA", "INTERESSADO", "INTERESSADA", "ASSISTENTE",
+    "LITISCONSORTE", "TERCEIRO", "EMBARGANTE", "EMBARGADO", "EMBARGADA", "PERITO", "REPRESENTANTE", "SUCESSOR", "HERDEIRO", "INVENTARIANTE",
+)
+PLACEHOLDERS = (
+    "INFORMACAO PROTEGIDA", "INFORMACAO SIGILOSA", "SEGREDO JUSTICA", "NOME PROTEGIDO", "PARTE SIGILOSA", "SIGILOSO", "SIGILOSA", "NAO INFORMADO", "NAO INFORMADA",
+    "NAO IDENTIFICADO", "NAO IDENTIFICADA", "DESCONHECIDO", "DESCONHECIDA", "SEM NOME", "A APURAR", "NOME", "NULL",
+)
+ACRONYM_MAX = 8
+SEPARATOR = r"\s*[-–—/|:;,]\s*"
 UFS = ("AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA", "PB", "PE", "PI", "PR", "RJ", "RN", "RO", "RR", "RS", "SC", "SE", "SP", "TO")
 
 
@@ -103,23 +113,27 @@ def normal_name(c: Column) -> Column:
     """The key under which spellings of a party's name meet.
 
     Upper case without accents; no text in parentheses; of segments cut by
-    - / | : ; acronyms go, but for the first; no connectives; no role and no
+    - / | : ; , acronyms go, but for the first; no connectives; no role and no
     company form at the end.
     """
-    text = without_parentheses(F.upper(strip_accents(F.coalesce(c, F.lit("")))))
-    alnum = lambda x: F.filter(F.split(x, "[^A-Z0-9]+"), lambda t: t != "")
-    segments = F.filter(F.split(text, r"\s*[-–—/|:;]\s*"), lambda s: F.trim(s) != "")
-    body = F.filter(segments, lambda s, i: (i == 0) | (F.size(alnum(s)) != 1) | ~F.length(F.array_join(alnum(s), "")).between(2, ACRONYM_MAX))
-    toks = alnum(F.array_join(body, " "))
-    useful = F.filter(toks, lambda t: ~t.isin(*STOPWORDS))
-    useful = F.when(F.size(useful) > 0, useful).otherwise(toks)
-    return F.array_join(_drop_tail(_drop_tail(useful, ROLES), COMPANY_FORMS), " ")
+    return F.array_join(_drop_tail(_drop_tail(_key_tokens(c, True, STOPWORDS), ROLES), COMPANY_FORMS), " ")
 
 
 def grouping_name(c: Column) -> Column:
-    """A looser key for lists: words of three letters and more, without forms and roles anywhere."""
-    toks = F.filter(F.split(F.upper(strip_accents(without_parentheses(F.coalesce(c, F.lit(""))))), "[^A-Z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS, *COMPANY_FORMS, *ROLES))
-    return F.array_join(toks, " ")
+    """A looser key for lists: acronyms go from any segment, single-letter connectives go too, roles and forms stay."""
+    return F.array_join(_key_tokens(c, False, LOOSE_STOPWORDS), " ")
+
+
+def _key_tokens(c: Column, keep_first: bool, stopwords: tuple[str, ...]) -> Column:
+    """A name's words without acronym segments and stopwords, unless nothing else is left."""
+    text = without_parentheses(F.upper(strip_accents(F.coalesce(c, F.lit("")))))
+    alnum = lambda x: F.filter(F.split(x, "[^A-Z0-9]+"), lambda t: t != "")
+    segments = F.filter(F.split(text, SEPARATOR), lambda s: F.trim(s) != "")
+    long = lambda s: (F.size(alnum(s)) != 1) | ~F.length(F.array_join(alnum(s), "")).between(2, ACRONYM_MAX)
+    body = F.filter(segments, lambda s, i: (F.lit(keep_first) & (i == 0)) | long(s))
+    toks = alnum(F.array_join(F.when(F.size(body) > 0, body).otherwise(segments), " "))
+    useful = F.filter(toks, lambda t: ~t.isin(*stopwords))
+    return F.when(F.size(useful) > 0, useful).otherwise(toks)
 
 
 def clean_label(c: Column) -> Column:
@@ -144,7 +158,7 @@ def acronym(name: Column) -> Column:
 def suspicious_name(name: Column, rows: Column) -> Column:
     """Why a name looks broken: one word with few rows, or a connective at its end; null if neither."""
     toks = F.split(name, " ")
-    return F.when((F.size(toks) == 1) & (rows < 5), "one word").when(F.element_at(toks, -1).isin(*STOPWORDS), "cut off")
+    return F.when((F.size(toks) == 1) & (rows < 5), "one word").when(F.element_at(toks, -1).isin(*LOOSE_STOPWORDS), "cut off")
 
 
 # Names of public bodies, on folded text.
@@ -224,7 +238,7 @@ def bar_numbers(c: Column, most: int = 40) -> Column:
 
 
 def money_values(c: Column, most: int = 40) -> Column:
-    """Distinct amounts after R$, largest first."""
+    """Distinct amounts above zero after R$, largest first."""
     raw = F.regexp_extract_all(c, F.lit(r"R\$\s*([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}|[0-9]+,[0-9]{2})"), F.lit(1))
     num = F.transform(raw, lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,2)"))
-    return F.slice(F.sort_array(F.array_distinct(F.filter(num, lambda x: x.isNotNull())), asc=False), 1, most)
+    return F.slice(F.sort_array(F.array_distinct(F.filter(num, lambda x: x > 0)), asc=False), 1, most)

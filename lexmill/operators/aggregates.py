@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.relational import running
+
 
 def facet(df: DataFrame, key: str, n: int, out: str = "total") -> DataFrame:
     """The n most frequent values of a non-null key; ties go by value."""
@@ -79,9 +81,9 @@ def kolmogorov_smirnov(df: DataFrame, value: str, side: str, keys: list[str]) ->
     return per.withColumn("gap", gap).groupBy(*keys).agg(F.round(F.max("gap"), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, tie: str, checkpoint) -> DataFrame:
     """Area under the curve by trapezoids over rows in order of falling score, ties by id."""
-    w = Window.orderBy(F.desc(score), tie)
-    d = df.select(F.col(label).cast("long").alias("y"), F.sum(F.col(label).cast("long")).over(w).alias("tp"), score, tie)
+    rows = df.select(F.col(label).cast("long").alias("y"), score, tie)
+    d = running(rows, [F.desc(score), F.col(tie)], {"tp": F.col("y")}, checkpoint)
     # with one row a step, a negative adds a rectangle as high as the positives before it
     return d.agg(F.try_divide(F.sum(F.when(F.col("y") == 0, F.col("tp"))), F.sum("y") * F.sum(1 - F.col("y"))).alias("auc"))

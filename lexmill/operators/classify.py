@@ -10,20 +10,20 @@ from lexmill.functions.text import fold
 
 # What each signal looks like in a movement's folded text.
 SIGNALS = {
-    "issued": r"(precatorio|rpv|oficio requisitorio)\s+expedid|expedicao\s+de\s+(precatorio|rpv|requisicao\s+de\s+pagamento)|expeca(m)?-se\s+(o\s+)?(precatorio|oficio requisitorio)",
+    "issued": r"(precatorio|rpv|oficio\s+requisitorio)\s+expedido|expedicao\s+de\s+(precatorio|rpv|requisicao\s+de\s+pagamento)|requisicao\s+de\s+pagamento\s+de\s+(pequeno\s+valor|precatorio)\s+(enviada|expedida)|determin(o|ada?)\s+(a\s+)?expedicao\s+de\s+(precatorio|rpv|oficio\s+requisitorio)|expeca(m)?-se\s+(o\s+)?(precatorio|oficio\s+requisitorio|a?\s*rpv)",
     "request": r"oficio\s+requisitorio|requisicao\s+de\s+pagamento",
     "enforcement": r"cumprimento\s+de\s+sentenca",
-    "accounts": r"homolog\w+\s+(os?\s+|as?\s+)?(calculos?|contas?|valor(es)?)|calculos?\s+homologad",
+    "accounts": r"homolog\w+\s+(os?\s+|as?\s+)?(calculos?|contas?|valor(es)?)|calculos?\s+homologad|homologacao\s+d[eo]s?\s+calculos?",
     "final": r"transit(o|ad[oa]|ou)\s+em\s+julgado",
     "granted": r"julgo\s+(parcialmente\s+)?procedente|procedencia\s+(parcial\s+)?d[oa]s?\s+pedido|\bcondeno\b",
-    "satisfied": r"extin[ct]\w*[^.;]{0,140}(pagamento|satisfacao|quitac)|satisfacao\s+da\s+obrigacao|obrigacao\s+satisfeita",
-    "denied": r"julgo\s+improcedente|improceden(te|tes|cia)|denego\s+seguimento|(decreto|reconheco|pronuncio)\s+a\s+prescri",
-    "no_merits": r"sem\s+resolucao\s+d[eo]\s+merito",
+    "satisfied": r"extin[ct]\w*[^.;]{0,140}(pagamento|satisfacao|cumprimento\s+da\s+obrigacao|quitac)|(pagamento|satisfacao\s+da\s+obrigacao|quitacao)[^.;]{0,140}extin[ct]|satisfacao\s+da\s+obrigacao|obrigacao\s+satisfeita|art\.?\s*924\s*,?\s*(inciso\s+)?(ii|2)\b",
+    "denied": r"julgo\s+improcedente|improceden(te|tes|cia)|indef(iro|erimento)\s+(d?a\s+)?(peticao\s+)?(inicial|exordial)|denego\s+seguimento|(decreto|reconheco|pronuncio)\s+a\s+prescri|prescricao[^.;]{0,60}(decretada|reconhecida|consumada|pronunciada)",
+    "no_merits": r"sem\s+resolucao\s+d[eo]\s+merito|art\.?\s*485\b",
     "side_issue": r"extin[ct]\w*[^.;]{0,100}(embargos|incidente|impugnacao)|(embargos|incidente|impugnacao)[^.;]{0,100}extin[ct]",
     "closed": r"julgo\s+extint|extincao\s+d[ao]\s+(processo|execucao|cumprimento)",
     "small_claim": r"\brpv\b|requisicao\s+de\s+pequeno\s+valor",
-    "payment": r"alvara\s+(judicial|de\s+levantamento)|mandado\s+de\s+levantamento",
-    "part_payment": r"pagamento\s+parcial|parcial(mente)?\s+(pago|quitad)",
+    "payment": r"alvara\s+(judicial|de\s+levantamento)|mandado\s+de\s+levantamento|expecam?-se\s+(o\s+)?alvara|levantamento\s+d[eo]s?\s*(valores|quantia|deposito)",
+    "part_payment": r"pagamento\s+parcial|parcial(mente)?\s+(pago|quitad)|levantamento\s+parcial",
 }
 
 # Fixed values: (pattern on folded text, type, subtype), in order; the first three different ones count.

@@ -41,9 +41,11 @@ def party_kind(doc: Column, bar: Column) -> Column:
 
 def group_parties(parties: DataFrame, name: str, doc: str) -> DataFrame:
     """key, key_kind, name_key, label, rows, spellings per company root, or per normal name without one."""
-    d = parties.select(F.col(name).alias("name"), ids.cnpj_root(F.col(doc)).alias("root"), text.normal_name(F.col(name)).alias("name_key"))
+    # names are normalised once each, not once a row
+    d = parties.groupBy(F.col(name).alias("name"), F.col(doc).alias("doc")).agg(F.count("*").alias("n"))
+    d = d.select("name", "n", ids.cnpj_root(F.col("doc")).alias("root"), text.normal_name(F.col("name")).alias("name_key"))
     d = d.withColumn("key_kind", F.when(F.col("root").isNotNull(), "root").otherwise("name")).withColumn("key", F.coalesce("root", "name_key"))
-    s = d.groupBy("key", "key_kind", "name_key", "name").agg(F.count("*").alias("n"))
+    s = d.groupBy("key", "key_kind", "name_key", "name").agg(F.sum("n").alias("n"))
     order = F.struct("n", F.col("name") != F.upper("name"), F.length("name"), "name")
     return s.groupBy("key", "key_kind").agg(F.max_by("name_key", order).alias("name_key"), F.max_by("name", order).alias("label"), F.sum("n").alias("rows"), F.count("*").alias("spellings"))
 
@@ -90,36 +92,45 @@ def pruned_spellings(spellings: DataFrame, key: str, n: str) -> DataFrame:
     return s.drop("toks").join(gone, [key, "name"], "left_anti")
 
 
-def spans(df: DataFrame, name: str, most: int = 8) -> DataFrame:
-    """(name, span) for every run of up to ``most`` words of the name."""
+def spans(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """(name, span) for every run of words of the name, of up to ``most`` words if set."""
     df = df.select(F.col(name).alias("__n"))
     toks = F.split("__n", " ")
-    at = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(toks) - i + 1)), lambda k: F.array_join(F.slice(toks, i, k), " ")))
+    at = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most if most else 2**31 - 1), F.size(toks) - i + 1)), lambda k: F.array_join(F.slice(toks, i, k), " ")))
     return df.select(F.col("__n").alias("name"), F.explode(F.array_distinct(F.flatten(at))).alias("span"))
 
 
-def phrase_join(docs: DataFrame, id_col: str, toks: str, names: DataFrame, name: str, max_broadcast: int = 100_000) -> DataFrame:
+def phrase_join(docs: DataFrame, id_col: str, toks: str, names: DataFrame, name: str, max_broadcast: int = 100_000, max_inline: int = 10_000) -> DataFrame:
     """(id, name) for every name that stands in a text as a phrase.
 
     Names meet texts at their first two words (or their only one), then the
     whole phrase is checked: no pair of text and name is tried without that.
+    Up to ``max_inline`` such beginnings travel with the tasks and are sought
+    inside each row, which then checks its phrases itself.
     """
     words = F.split(F.col(name), " ")
     lead = names.select(F.col(name), F.array_join(F.slice(words, 1, 2), " ").alias("lead"))
     few = lead.count() <= max_broadcast
     grams = F.concat(F.col(toks), F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col(toks), i, 2), " ")))
+    known = [r["lead"] for r in lead.select("lead").distinct().limit(max_inline + 1).collect()]
+    if few and len(known) <= max_inline:
+        inside = F.array_distinct(F.filter(grams, lambda g: g.isin(*known)))
+        # no filter before explode: it would be pushed to where the tokens are made, and make them anew for every pair
+        met = docs.select(id_col, toks, F.explode(inside).alias("lead")).join(F.broadcast(lead), "lead")
+        return met.where(text.has_phrase(F.col(toks), F.col(name))).select(id_col, name).distinct()
     starts = docs.select(id_col, F.explode(F.array_distinct(grams)).alias("lead"))
     hits = starts.join(F.broadcast(lead) if few else lead, "lead").select(id_col, name)
     return hits.join(docs, id_col).where(text.has_phrase(F.col(toks), F.col(name))).select(id_col, name).distinct()
 
 
-def resolve_roots(pointers: DataFrame, node: str, to: str, checkpoint, rounds: int = 40) -> DataFrame:
-    """(node, root): pointers followed to their end by doubling; a node on a cycle is its own root.
+def resolve_roots(pointers: DataFrame, node: str, to: str, checkpoint) -> DataFrame:
+    """(node, root): pointers followed to their end by doubling; a node on a cycle, or before one, is its own root.
 
     ``checkpoint`` stages a table and gives it back, which cuts the lineage.
+    After as many rounds as the number of nodes has bits only cycles still move.
     """
     p = checkpoint(pointers.select(F.col(node).alias("node"), F.col(to).alias("root")).where("node <> root").dropDuplicates(["node"]))
-    for _ in range(rounds):
+    for _ in range(p.count().bit_length() + 1):
         nxt = p.select(F.col("node").alias("root"), F.col("root").alias("next"))
         q = checkpoint(p.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         moved = q.join(p.withColumnRenamed("root", "was"), "node").where("root <> was AND node <> root").limit(1).count()
@@ -130,12 +141,13 @@ def resolve_roots(pointers: DataFrame, node: str, to: str, checkpoint, rounds: i
     return p.select("node").join(ends, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def facet_plan(groups: DataFrame, factor: int = 10, most: int = 8) -> DataFrame:
+def facet_plan(groups: DataFrame, factor: int = 10) -> DataFrame:
     """(facet, owner): a name that contains another entity's whole name and has far fewer rows belongs to it.
 
     Of several owners inside a name, only the single longest decides; ties abstain.
     """
-    s = spans(groups.select(F.col("name_key")).distinct(), "name_key", most).withColumnRenamed("name", "facet")
+    longest = groups.agg(F.max(F.size(F.split("name_key", " ")))).first()[0]
+    s = spans(groups.select(F.col("name_key")).distinct(), "name_key", longest).withColumnRenamed("name", "facet")
     owners = groups.groupBy(F.col("name_key").alias("span")).agg(F.sum("rows").alias("owner_rows"))
     small = groups.groupBy(F.col("name_key").alias("facet")).agg(F.sum("rows").alias("facet_rows"))
     j = s.join(owners, "span").join(small, "facet").where("span <> facet").where(F.col("owner_rows") >= factor * F.col("facet_rows"))

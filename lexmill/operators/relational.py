@@ -32,6 +32,28 @@ def hash_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], checkpoint) -> DataFrame:
+    """Adds for each of ``sums`` the sum over all rows before, in a total order, without meeting in one task.
+
+    Rows are dealt by ranges of the order; a range's own sums are added to
+    those of the ranges before, of which there is one row a range. The dealt
+    rows are staged by ``checkpoint``, so that ranges do not change.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = {f"__{k}": v for k, v in sums.items()}
+    d = checkpoint(df.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("__range"), *[v.alias(k) for k, v in own.items()]))
+    per = sorted(d.groupBy("__range").agg(*[F.sum(k).alias(k) for k in own]).collect(), key=lambda r: r["__range"])
+    before, total = [], dict.fromkeys(own, 0)
+    for r in per:
+        before.append((r["__range"], *total.values()))
+        total = {k: v + (r[k] or 0) for k, v in total.items()}
+    starts = df.sparkSession.createDataFrame(before, "__range int, " + ", ".join(f"{k}_start long" for k in own))
+    w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(F.broadcast(starts), "__range")  # one row a range
+    out = {k: F.col(f"__{k}_start") + F.coalesce(F.sum(f"__{k}").over(w), F.lit(0)) for k in sums}
+    return d.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+
+
 def stratified(df: DataFrame, stratum: str, id_col: str, quota: int, seed: int) -> DataFrame:
     """At most ``quota`` rows per stratum, in hash order."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(id_col, seed), id_col))).where(F.col("place") <= quota)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.io import table
+from lexmill.io import stage, table
 from lexmill.operators import aggregates as agg
 from lexmill.plans.base import query
 
@@ -286,7 +286,7 @@ def a34(spark, sf):
 
 @query("a35_auc", f"WITH o AS (SELECT quality AS y, sum(quality) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS tp FROM {SCORED}) SELECT round(sum(CASE WHEN y = 0 THEN tp END) / (sum(y) * sum(1 - y)), 6) AS auc FROM o")
 def a35(spark, sf):
-    return agg.roc_auc(scored(spark, sf), "score", "quality", "doc_id").select(F.round("auc", 6).alias("auc"))
+    return agg.roc_auc(scored(spark, sf), "score", "quality", "doc_id", stage).select(F.round("auc", 6).alias("auc"))
 
 
 @query("a36_precision_at_k", f"WITH r AS (SELECT quality, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM {SCORED}) SELECT k::INT AS k, round(avg(quality) FILTER (WHERE rn <= k), 6) AS precision FROM r, (SELECT unnest([10, 50, 100]) AS k) GROUP BY k")
@@ -478,9 +478,9 @@ def a60(spark, sf):
     return o.groupBy(F.col("o_orderpriority").alias("level")).agg(agg.count_where(F.col("used").isNull()).alias("pending"), F.count("*").alias("n"), agg.rate(agg.count_where(F.col("o_orderstatus") == "F"), F.count("*"), 6).alias("validation_rate"))
 
 
-@query("a61_party_record", "SELECT s_name, o_orderpriority, count(DISTINCT o_orderkey) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE s_suppkey <= 10 GROUP BY 1, 2")
+@query("a61_party_record", "SELECT s_name, o_orderpriority, count(DISTINCT o_orderkey) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def a61(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey <= 10")
+    s = table(spark, sf, "supplier")
     j = table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("s_name", "o_orderpriority").agg(F.countDistinct("o_orderkey").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.io import scratch, table
+from lexmill.io import scratch, stage, table
 from lexmill.operators import aggregates as agg
 from lexmill.operators import relational as rel
 from lexmill.plans.aggregates import CASES, cases, cents
@@ -31,21 +31,21 @@ def s02(spark, sf):
     return table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_linenumber")
 
 
-@query("s05_csv_header_column", "SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey <= 500")
+@query("s05_csv_header_column", "SELECT DISTINCT o_orderkey AS id FROM orders")
 def s05(spark, sf):
     from lexmill.sources.files import read_id_csv
 
     path = scratch(spark)
-    table(spark, sf, "orders").where("o_orderkey <= 500").select(F.lit("x").alias("note"), F.col("o_orderkey").alias("Case_ID")).write.option("header", True).csv(path)
+    table(spark, sf, "orders").select(F.lit("x").alias("note"), F.col("o_orderkey").alias("Case_ID")).write.option("header", True).csv(path)
     return read_id_csv(spark, path, ["case_id", "id"]).select(F.col("value").cast("long").alias("id")).distinct()
 
 
-@query("s06_csv_first_column", "SELECT lpad(o_orderkey::VARCHAR, 8, '0') AS id FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 3 = 0")
+@query("s06_csv_first_column", "SELECT lpad(o_orderkey::VARCHAR, 8, '0') AS id FROM orders WHERE o_orderkey % 3 = 0")
 def s06(spark, sf):
     from lexmill.sources.files import read_first_column
 
     path = scratch(spark)
-    o = table(spark, sf, "orders").where("o_orderkey <= 300")
+    o = table(spark, sf, "orders")
     o.select(F.when(F.col("o_orderkey") % 3 == 0, F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).otherwise("not a number").alias("a"), F.lit("b").alias("b")).write.csv(path)
     return read_first_column(spark, path, r"^\d{8}$").withColumnRenamed("value", "id")
 
@@ -76,9 +76,9 @@ def s10(spark, sf):
     return a.unionByName(b).dropDuplicates(["event_id"])
 
 
-@query("s11_flatten_nested", "SELECT l_orderkey AS case_id, l_linenumber AS code, l_shipdate::DATE AS day FROM lineitem WHERE l_orderkey <= 200")
+@query("s11_flatten_nested", "SELECT l_orderkey AS case_id, l_linenumber AS code, l_shipdate::DATE AS day FROM lineitem")
 def s11(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_orderkey <= 200")
+    l = table(spark, sf, "lineitem")
     doc = l.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(F.col("l_linenumber").alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")))).alias("movements"))
     m = doc.select(F.col("l_orderkey").alias("case_id"), F.explode(F.from_json("movements", "array<struct<code:int,day:date>>")).alias("m"))
     return m.select("case_id", "m.code", "m.day")
@@ -103,20 +103,20 @@ def s14(spark, sf):
 
 @query("s15_idempotent_sink", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def s15(spark, sf):
-    from lexmill.sources.files import upsert_parquet
+    from lexmill.sources.files import read_upserted, upsert_parquet
 
     path = scratch(spark)
     e = table(spark, sf, "events").select("user_id", "event_id")
     for batch in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), e.where("event_id % 2 = 1")):
         upsert_parquet(spark, path, batch, ["user_id"], "event_id")
-    return spark.read.parquet(f"{path}/current")
+    return read_upserted(spark, path)
 
 
-@query("s17_csv_export", "SELECT o_orderkey, o_orderpriority, last_ship::DATE AS last_ship FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey <= 1000")
+@query("s17_csv_export", "SELECT o_orderkey, o_orderpriority, last_ship::DATE AS last_ship FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def s17(spark, sf):
     path = scratch(spark)
     last = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("last_ship"))
-    table(spark, sf, "orders").where("o_orderkey <= 1000").join(last, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "last_ship").write.option("header", True).csv(path)
+    table(spark, sf, "orders").join(last, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "last_ship").write.option("header", True).csv(path)
     return spark.read.schema("o_orderkey long, o_orderpriority string, last_ship date").option("header", True).csv(path)
 
 
@@ -289,10 +289,10 @@ def j03(spark, sf):
     return a.join(b, "nation", "full").select("nation", F.coalesce("n_customers", F.lit(0)).alias("n_customers"), F.coalesce("n_suppliers", F.lit(0)).alias("n_suppliers"))
 
 
-@query("j04_left_remap", "SELECT l_orderkey, l_linenumber, coalesce(keep, l_suppkey) AS party FROM lineitem LEFT JOIN (SELECT s_suppkey, s_suppkey % 10 AS keep FROM supplier WHERE s_suppkey > 20) ON l_suppkey = s_suppkey WHERE l_orderkey <= 100")
+@query("j04_left_remap", "SELECT l_orderkey, l_linenumber, coalesce(keep, l_suppkey) AS party FROM lineitem LEFT JOIN (SELECT s_suppkey, s_suppkey % 10 AS keep FROM supplier WHERE s_suppkey > 20) ON l_suppkey = s_suppkey")
 def j04(spark, sf):
     m = table(spark, sf, "supplier").where("s_suppkey > 20").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 10).alias("keep"))
-    return table(spark, sf, "lineitem").where("l_orderkey <= 100").join(m, "l_suppkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("keep", "l_suppkey").alias("party"))
+    return table(spark, sf, "lineitem").join(m, "l_suppkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("keep", "l_suppkey").alias("party"))
 
 
 @query("j05_semi_bridge", "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_returnflag = 'R')")
@@ -318,9 +318,9 @@ def j08(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(last, "o_orderkey", "left").select("o_orderkey", "m.*")
 
 
-@query("j09_lateral_top1", "SELECT c_custkey, x.o_orderpriority FROM customer, LATERAL (SELECT o_orderpriority FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) x WHERE c_custkey <= 200")
+@query("j09_lateral_top1", "SELECT c_custkey, x.o_orderpriority FROM customer, LATERAL (SELECT o_orderpriority FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) x")
 def j09(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey <= 200")
+    o = table(spark, sf, "orders")
     return o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("o_orderpriority"))
 
 
@@ -340,11 +340,11 @@ def j11(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.min("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment")).alias("keep"))
 
 
-@query("j12_two_exclusions", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 3000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("j12_two_exclusions", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def j12(spark, sf):
     a = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     b = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").where("o_orderkey <= 3000").join(a, "o_orderkey", "left_anti").join(b, "o_custkey", "left_anti").select("o_orderkey")
+    return table(spark, sf, "orders").join(a, "o_orderkey", "left_anti").join(b, "o_custkey", "left_anti").select("o_orderkey")
 
 
 @query("j13_in_list", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT unnest(range(1, 2000, 7)))")
@@ -353,10 +353,10 @@ def j13(spark, sf):
     return table(spark, sf, "orders").join(F.broadcast(ids), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("j14_lookup", "SELECT event_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_id < 2000")
+@query("j14_lookup", "SELECT event_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey")
 def j14(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    return table(spark, sf, "events").where("event_id < 2000").join(c, "user_id", "left").select("event_id", "c_name")
+    return table(spark, sf, "events").join(c, "user_id", "left").select("event_id", "c_name")
 
 
 @query("j15_two_stores", "SELECT o_orderkey, o_orderstatus, n_lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -365,16 +365,16 @@ def j15(spark, sf):
     return table(spark, sf, "orders").join(n, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "n_lines")
 
 
-@query("j16_covered_days", "WITH r AS (SELECT o_orderkey % 5 AS court, o_orderdate::DATE AS a, o_orderdate::DATE + 3 AS b FROM orders WHERE o_orderkey <= 2000) SELECT court, count(DISTINCT d) AS days FROM (SELECT court, unnest(generate_series(greatest(a, DATE '1996-01-01'), least(b, DATE '1998-12-31'), INTERVAL 1 DAY)) AS d FROM r WHERE greatest(a, DATE '1996-01-01') <= least(b, DATE '1998-12-31')) GROUP BY 1")
+@query("j16_covered_days", "WITH r AS (SELECT o_orderkey % 5 AS court, o_orderdate::DATE AS a, o_orderdate::DATE + 3 AS b FROM orders) SELECT court, count(DISTINCT d) AS days FROM (SELECT court, unnest(generate_series(greatest(a, DATE '1996-01-01'), least(b, DATE '1998-12-31'), INTERVAL 1 DAY)) AS d FROM r WHERE greatest(a, DATE '1996-01-01') <= least(b, DATE '1998-12-31')) GROUP BY 1")
 def j16(spark, sf):
     day = F.to_date("o_orderdate")
-    r = table(spark, sf, "orders").where("o_orderkey <= 2000").select((F.col("o_orderkey") % 5).alias("court"), day.alias("a"), F.date_add(day, 3).alias("b"))
+    r = table(spark, sf, "orders").select((F.col("o_orderkey") % 5).alias("court"), day.alias("a"), F.date_add(day, 3).alias("b"))
     return rel.covered_days(r, "a", "b", F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")).groupBy("court").agg(F.countDistinct("day").alias("days"))
 
 
-@query("j17_denormalise", "SELECT o_orderkey, string_agg(s_name || '/' || l_returnflag, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parties FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey <= 500 GROUP BY 1")
+@query("j17_denormalise", "SELECT o_orderkey, string_agg(s_name || '/' || l_returnflag, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parties FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def j17(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_orderkey <= 500").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     g = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat_ws("/", "s_name", "l_returnflag").alias("p")))).alias("x"))
     return g.join(table(spark, sf, "orders"), "o_orderkey", "left_semi").select("o_orderkey", F.array_join(F.col("x.p"), "; ").alias("parties"))
 
@@ -466,9 +466,9 @@ def w11(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", k).alias("first_id"), F.max_by("event_id", k).alias("last_id"))
 
 
-@query("w12_month_groups", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders WHERE o_custkey <= 50 GROUP BY 1, 2")
+@query("w12_month_groups", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY 1, 2")
 def w12(spark, sf):
-    g = table(spark, sf, "orders").where("o_custkey <= 50").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("x"))
+    g = table(spark, sf, "orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("x"))
     return g.select("o_custkey", "month", F.array_join(F.transform("x", lambda x: x["o_orderkey"].cast("string")), ",").alias("ids"))
 
 
@@ -480,9 +480,9 @@ def o01(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(30)
 
 
-@query("o02_missing_last", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS bal FROM customer WHERE c_custkey <= 60 ORDER BY bal DESC NULLS LAST, c_custkey LIMIT 58")
+@query("o02_missing_last", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS bal FROM customer ORDER BY bal DESC NULLS LAST, c_custkey LIMIT 58")
 def o02(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey <= 60").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("bal")).orderBy(F.desc_nulls_last("bal"), "c_custkey").limit(58)
+    return table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("bal")).orderBy(F.desc_nulls_last("bal"), "c_custkey").limit(58)
 
 
 @query("o03_topn", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 7")
@@ -495,12 +495,12 @@ def o04(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").offset(100).limit(50)
 
 
-PAGE = "SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 50000)::BIGINT END AS v FROM orders WHERE o_orderkey <= 400) ORDER BY v DESC NULLS LAST, o_orderkey LIMIT 60 OFFSET 60"
+PAGE = "SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 50000)::BIGINT END AS v FROM orders) ORDER BY v DESC NULLS LAST, o_orderkey LIMIT 60 OFFSET 60"
 
 
 @query("o06_keyset_page", PAGE)
 def o06(spark, sf):
-    d = table(spark, sf, "orders").where("o_orderkey <= 400").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice") / 50000)).alias("v"))
+    d = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice") / 50000)).alias("v"))
     first = rel.keyset_page(d, "v", "o_orderkey", None, 60)
     end = first.tail(1)
     cursor = rel.encode_cursor([end[0]["v"], end[0]["o_orderkey"]], "v") if end else None
@@ -529,9 +529,10 @@ def o10(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").orderBy(rel.hash_order("c_custkey", 7), "c_custkey").limit(100)
 
 
-@query("o11_item_order", "SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':11'), c_custkey)::INT AS place FROM customer WHERE c_custkey <= 80")
+@query("o11_item_order", "SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':11'), c_custkey)::INT AS place FROM customer")
 def o11(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey <= 80").select("c_custkey", F.row_number().over(Window.orderBy(rel.hash_order("c_custkey", 11), "c_custkey")).alias("place"))
+    d = rel.running(table(spark, sf, "customer").select("c_custkey"), [rel.hash_order("c_custkey", 11), F.col("c_custkey")], {"before": F.lit(1)}, stage)
+    return d.select("c_custkey", (F.col("before") + 1).cast("int").alias("place"))
 
 
 # sets

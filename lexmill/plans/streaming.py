@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.io import scratch, table
 from lexmill.plans.base import query
+from lexmill.sources.files import read_upserted
 from lexmill.streaming import pipelines as st
 
 
@@ -25,7 +26,7 @@ def st01(spark, sf):
     out = scratch(spark)
     prepare = lambda b: st.newest(b.repartition(4, F.pmod("user_id", F.lit(4))).select("user_id", "event_id"), ["user_id"], "event_id")
     st.run_once(_stream(spark, _events(spark, sf)), st.upsert_sink(spark, out, ["user_id"], "event_id", prepare), scratch(spark))
-    return spark.read.parquet(f"{out}/current").select((F.col("user_id") % 4).cast("int").alias("part"), "user_id", "event_id")
+    return read_upserted(spark, out).select((F.col("user_id") % 4).cast("int").alias("part"), "user_id", "event_id")
 
 
 RAW = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'version' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'status' END AS reject FROM events)"""
@@ -49,7 +50,7 @@ def st02(spark, sf):
 def st03(spark, sf):
     out = scratch(spark)
     st.run_once(_stream(spark, _events(spark, sf)).select("user_id", "event_id", "event_type"), st.upsert_sink(spark, out, ["user_id"], "event_id"), scratch(spark))
-    return spark.read.parquet(f"{out}/current")
+    return read_upserted(spark, out)
 
 
 @query("st04_late_events", "WITH a AS (SELECT user_id, max(ts) AS t FROM events WHERE event_id % 2 = 0 AND event_id % 5 > 2 GROUP BY 1), b AS (SELECT user_id, max(ts) AS t FROM events WHERE event_id % 2 = 1 AND event_id % 5 > 2 GROUP BY 1) SELECT count(*) FILTER (WHERE a.t IS NULL OR b.t > a.t) AS applied, count(*) FILTER (WHERE b.t <= a.t) AS skipped FROM b LEFT JOIN a USING (user_id)")
@@ -61,9 +62,9 @@ def st04(spark, sf):
     return counts
 
 
-@query("st05_newest_in_batch", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id < 3000 GROUP BY 1")
+@query("st05_newest_in_batch", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def st05(spark, sf):
-    return st.newest(_events(spark, sf).where("event_id < 3000").select("user_id", "event_id"), ["user_id"], "event_id")
+    return st.newest(_events(spark, sf).select("user_id", "event_id"), ["user_id"], "event_id")
 
 
 @query("st08_overlap_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
@@ -83,7 +84,7 @@ def st12(spark, sf):
     terms = spark.createDataFrame([("purchase",), ("error",)], "event_type string")
     s = _stream(spark, _events(spark, sf)).join(F.broadcast(terms), "event_type").select("user_id", "event_type", "event_id")
     st.run_once(s, st.upsert_sink(spark, out, ["user_id", "event_type"], "event_id"), scratch(spark))
-    return spark.read.parquet(f"{out}/current").select("user_id", "event_type")
+    return read_upserted(spark, out).select("user_id", "event_type")
 
 
 @query("st13_tumbling_hours", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

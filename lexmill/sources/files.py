@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +29,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def upsert_parquet(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], version: str) -> None:
+def current_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The number and folder of the last whole version of an upserted table; (0, None) before the first."""
+    if not _exists(spark, path):
+        return 0, None
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop(path))]
+    whole = [n for n in names if n.startswith("v") and n[1:].isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS")]
+    last = max(whole, default=None, key=lambda n: int(n[1:]))
+    return (int(last[1:]), f"{path}/{last}") if last else (0, None)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of an upserted table."""
+    folder = current_version(spark, path)[1]
+    if folder is None:
+        raise FileNotFoundError(f"no whole version in {path}")
+    return spark.read.parquet(folder)
+
+
+def upsert_parquet(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], version: str, keep: int = 2) -> None:
     """Rows of the batch replace those of the same key with an older version; the same batch twice changes nothing.
 
-    The new table is written beside the current one and takes its name only when it is whole.
+    Each batch writes a new numbered folder, which counts once Spark's commit
+    has marked it whole; older ones but the last ``keep`` are deleted only
+    then. A batch that stops anywhere leaves the table as it was. One writer
+    at a time.
     """
-    rows = batch
-    if _exists(spark, f"{path}/current"):
-        rows = spark.read.schema(batch.schema).parquet(f"{path}/current").unionByName(batch)
+    number, folder = current_version(spark, path)
+    rows = spark.read.schema(batch.schema).parquet(folder).unionByName(batch) if folder else batch
     rest = [c for c in batch.columns if c not in keys]
     new = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
-    side = f"{path}/new-{uuid.uuid4().hex}"
-    new.write.parquet(side)
+    new.write.mode("overwrite").parquet(f"{path}/v{number + 1:012d}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(f"{path}/current"), True)
-    fs.rename(hadoop(side), hadoop(f"{path}/current"))
+    for old in fs.listStatus(hadoop(path)):
+        n = old.getPath().getName()
+        if n.startswith("v") and n[1:].isdigit() and int(n[1:]) <= number + 1 - keep:
+            fs.delete(old.getPath(), True)
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:

@@ -114,8 +114,76 @@ def test_dominance(spark):
 def test_pointer_roots_with_a_cycle(spark):
     d = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (11, 10)], "a long, b long")
     base, n = scratch(spark), iter(range(99))
-    got = dict(entities.resolve_roots(d, "a", "b", lambda x: files.staged(x, f"{base}/{next(n)}"), rounds=6).collect())
-    assert got[1] == got[2] == got[3] == 4
+    got = dict(entities.resolve_roots(d, "a", "b", lambda x: files.staged(x, f"{base}/{next(n)}")).collect())
+    assert got == {1: 4, 2: 4, 3: 4, 10: 10, 11: 11}
+
+
+def test_pointer_roots_of_a_long_chain(spark):
+    base, n = scratch(spark), iter(range(99))
+    d = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = entities.resolve_roots(d, "a", "b", lambda x: files.staged(x, f"{base}/{next(n)}"))
+    assert got.where("root = 300").count() == 300
+
+
+def test_name_keys(spark):
+    keys = lambda *names: [one(spark, text.normal_name(F.lit(n))) for n in names]
+    assert keys("A&E TRANSPORTES LTDA", "A. O. TRANSPORTES LTDA", "Transportes LTDA") == ["A E TRANSPORTES", "A O TRANSPORTES", "TRANSPORTES"]
+    assert keys("União dos Estados nas Américas", "HENRIMAR - INDUSTRIA E COMERCIO LTDA", "Banco Alfa, SUDESTE") == ["UNIAO ESTADOS AMERICAS", "HENRIMAR INDUSTRIA E COMERCIO", "BANCO ALFA"]
+    assert set(keys("Instituto Nacional do Seguro Social - INSS", "INSTITUTO NACIONAL DO SEGURO SOCIAL (REQUERIDO(A))", "Instituto Nacional do Seguro Social — REQUERENTE")) == {"INSTITUTO NACIONAL SEGURO SOCIAL"}
+    assert one(spark, text.grouping_name(F.lit("INSS - Instituto e a Saúde"))) == "INSTITUTO SAUDE" and one(spark, text.grouping_name(F.lit("INSS"))) == "INSS"
+
+
+def test_phrases_by_either_way(spark):
+    d = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick brown"), (3, ""), (4, None), (5, "fox fox")], "id int, t string").withColumn("toks", text.tokens(F.col("t")))
+    n = spark.createDataFrame([("quick brown",), ("brown fox",), ("fox",), ("the brown",)], "name string")
+    for most in (10_000, 0):
+        got = {tuple(r) for r in entities.phrase_join(d, "id", "toks", n, "name", max_inline=most).collect()}
+        assert got == {(1, "quick brown"), (1, "brown fox"), (1, "fox"), (2, "quick brown"), (5, "fox")}
+
+
+def test_running_sums_over_ranges(spark):
+    d = spark.range(500).select((F.col("id") * 37 % 101).alias("k"), "id", (F.col("id") % 5).alias("v"))
+    base, n = scratch(spark), iter(range(9))
+    got = {r.id: r.before for r in relational.running(d, [F.desc("k"), F.col("id")], {"before": F.col("v")}, lambda x: files.staged(x, f"{base}/{next(n)}")).collect()}
+    total, want = 0, {}
+    for i in sorted(range(500), key=lambda i: (-(i * 37 % 101), i)):
+        want[i], total = total, total + i % 5
+    assert got == want
+    assert relational.running(d.where("false"), [F.col("id")], {"before": F.col("v")}, lambda x: files.staged(x, f"{base}/{next(n)}")).count() == 0
+
+
+def test_a_stopped_upsert_loses_nothing(spark):
+    path = scratch(spark)
+    t = lambda rows: spark.createDataFrame(rows, "k long, v long")
+    files.upsert_parquet(spark, path, t([(1, 1), (2, 1)]), ["k"], "v")
+    # what a batch leaves that stops before its commit: a folder without its mark
+    t([(9, 9)]).write.parquet(f"{path}/v{2:012d}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{2:012d}/_SUCCESS")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    assert {r.k for r in files.read_upserted(spark, path).collect()} == {1, 2}
+    broken = t([(3, 3)]).withColumn("v", F.raise_error(F.lit("stopped")).cast("long"))
+    with pytest.raises(Exception, match="stopped"):
+        files.upsert_parquet(spark, path, broken, ["k"], "v")
+    assert {r.k for r in files.read_upserted(spark, path).collect()} == {1, 2}
+    for _ in range(4):
+        files.upsert_parquet(spark, path, t([(3, 3), (2, 0)]), ["k"], "v")
+    assert sorted(map(tuple, files.read_upserted(spark, path).collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_stage_patterns(spark):
+    said = {
+        "issued": ("Requisição de pagamento de pequeno valor enviada", "Determino a expedição de RPV", "Expeça-se o ofício requisitório", "Precatório expedido"),
+        "accounts": ("Homologação dos cálculos", "Homologo os cálculos"),
+        "satisfied": ("pagamento integral, declaro extinta a execução", "nos termos do art. 924, II", "Extinto o feito pelo cumprimento da obrigação"),
+        "denied": ("Indeferimento da petição inicial", "a prescrição intercorrente foi decretada", "Pronuncio a prescrição"),
+        "no_merits": ("com base no art. 485 do CPC",),
+        "payment": ("Expeça-se alvará", "levantamento dos valores"),
+        "part_payment": ("levantamento parcial",),
+    }
+    rows = [(k, t) for k, ts in said.items() for t in ts]
+    m = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "case int, text string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {r.case: r for r in classify.case_signals(m, "case", "day", "text").collect()}
+    assert [(k, t) for i, (k, t) in enumerate(rows) if not got[i][f"{k}_n"]] == []
 
 
 def test_merge_rules(spark):
@@ -146,7 +214,7 @@ def test_failure_does_not_advance(spark):
         pipelines.run_once(stream(), broken, check)
     sink = pipelines.upsert_sink(spark, out, ["id"], "id", lambda d: d.withColumn("n", F.lit(1)))
     pipelines.run_once(stream(), sink, check)
-    assert spark.read.parquet(f"{out}/current").count() == 10
+    assert files.read_upserted(spark, out).count() == 10
     pipelines.run_once(stream(), broken, check)  # nothing new: the sink is not called
 
 
