@@ -388,9 +388,9 @@ def f73(spark, sf):
     return e.select("user_id", F.round(numbers.compound(F.col("r")), 6).alias("factor"))
 
 
-@query("f74_present_value", "SELECT o_orderkey, round((o_totalprice * pow(1.04 / 1.12, o_orderkey % 10))::DECIMAL(38, 10), 2)::DOUBLE AS pv FROM orders")
+@query("f74_present_value", "SELECT o_orderkey, round((o_totalprice * pow(1.04 / 1.12, o_orderkey % 10))::DECIMAL(38, 6), 2)::DOUBLE AS pv FROM orders")
 def f74(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.round(numbers.present_value(F.col("o_totalprice"), F.col("o_orderkey") % 10, 0.12, 0.04).cast("decimal(38,10)"), 2).cast("double").alias("pv"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(numbers.present_value(F.col("o_totalprice"), F.col("o_orderkey") % 10, 0.12, 0.04).cast("decimal(38,6)"), 2).cast("double").alias("pv"))
 
 
 @query("f75_payment_year", "SELECT o_orderkey, (year(o_orderdate) + CASE WHEN o_orderdate::DATE > make_date(year(o_orderdate), 4, 2) THEN 2 ELSE 1 END)::INT AS due FROM orders")
