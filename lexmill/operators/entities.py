@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ids, text
 
+# Fixed values, on name keys: territories stand in the names of bodies that are not theirs and own no facet; associations
+# name whose members they gather and are nobody's facet. Acronyms have at least three letters.
+TERRITORY = r"^(ESTADOS?|MUNICIPIOS?|PREFEITURA|DISTRITO FEDERAL|UNIAO|GOVERNO|FAZENDA)\b"
+ASSOCIATION = r"\b(SINDICATO|ASSOCIACAO|COOPERATIVA|FEDERACAO|CONFEDERACAO|FUNDACAO)\b"
+ACRONYM_MIN = 3
+
 # A leader needs this share of a group's rows, this many times the second's, and absorbs up to this many rows.
 DOMINANCE_SHARE, DOMINANCE_FACTOR, TYPO_ROWS = 0.9, 10, 1
 
@@ -39,15 +45,24 @@ def party_kind(doc: Column, bar: Column) -> Column:
     return F.when(filled(bar), "lawyer").when(F.length(d) == 14, "company").when(F.length(d) == 11, "person").otherwise("unknown")
 
 
-def group_parties(parties: DataFrame, name: str, doc: str) -> DataFrame:
-    """key, key_kind, name_key, label, rows, spellings per company root, or per normal name without one."""
+def spellings(parties: DataFrame, name: str, doc: str) -> DataFrame:
+    """key, key_kind, name_key, name, n: how often each spelling stands under a company root, or a normal name without one."""
     # names are normalised once each, not once a row
     d = parties.groupBy(F.col(name).alias("name"), F.col(doc).alias("doc")).agg(F.count("*").alias("n"))
     d = d.select("name", "n", ids.cnpj_root(F.col("doc")).alias("root"), text.normal_name(F.col("name")).alias("name_key"))
     d = d.withColumn("key_kind", F.when(F.col("root").isNotNull(), "root").otherwise("name")).withColumn("key", F.coalesce("root", "name_key"))
-    s = d.groupBy("key", "key_kind", "name_key", "name").agg(F.sum("n").alias("n"))
+    return d.groupBy("key", "key_kind", "name_key", "name").agg(F.sum("n").alias("n"))
+
+
+def groups_of(spelled: DataFrame) -> DataFrame:
+    """key, key_kind, name_key, label, rows, spellings of a table of spellings."""
     order = F.struct("n", F.col("name") != F.upper("name"), F.length("name"), "name")
-    return s.groupBy("key", "key_kind").agg(F.max_by("name_key", order).alias("name_key"), F.max_by("name", order).alias("label"), F.sum("n").alias("rows"), F.count("*").alias("spellings"))
+    return spelled.groupBy("key", "key_kind").agg(F.max_by("name_key", order).alias("name_key"), F.max_by("name", order).alias("label"), F.sum("n").alias("rows"), F.count("*").alias("spellings"))
+
+
+def group_parties(parties: DataFrame, name: str, doc: str) -> DataFrame:
+    """key, key_kind, name_key, label, rows, spellings per company root, or per normal name without one."""
+    return groups_of(spellings(parties, name, doc))
 
 
 def dominant(groups: DataFrame, by: str) -> DataFrame:
@@ -61,20 +76,49 @@ def dominant(groups: DataFrame, by: str) -> DataFrame:
     return d.withColumn("dominated", F.coalesce(dominated, F.lit(False))).withColumn("leads", F.col("place") == 1)
 
 
-def typo_merges(groups: DataFrame) -> DataFrame:
-    """(absorbed, leader): root groups of one row, spelled as a root group that dominates their name."""
-    d = dominant(groups.where("key_kind = 'root'"), "name_key").where("dominated")
-    spelled = F.array_join(text.identity_tokens(F.col("label")), " ")
-    d = d.withColumn("spelled", spelled)
-    lead = d.where("leads").select("name_key", F.col("key").alias("leader"), F.col("spelled").alias("lead_spelled"))
+def _spelled_alike(groups: DataFrame) -> DataFrame:
+    """Decisions on groups of few rows, spelled as a group that dominates their name."""
+    d = dominant(groups, "name_key").where("dominated").withColumn("spelled", F.array_join(text.identity_tokens(F.col("label")), " "))
+    lead = d.where("leads").select("name_key", F.col("key").alias("leader"), F.col("key_kind").alias("leader_kind"), F.col("spelled").alias("lead_spelled"))
     rest = d.where((~F.col("leads")) & (F.col("rows") <= TYPO_ROWS))
-    return rest.join(lead, "name_key").where("spelled = lead_spelled").select(F.col("key").alias("absorbed"), "leader")
+    return rest.join(lead, "name_key").where("spelled = lead_spelled").select(F.col("key").alias("absorbed"), F.col("key_kind").alias("absorbed_kind"), "leader", "leader_kind")
+
+
+def typo_merges(groups: DataFrame) -> DataFrame:
+    """Decisions: root groups of one row, spelled as a root group that dominates their name."""
+    return _spelled_alike(groups.where("key_kind = 'root' AND name_key <> ''"))
 
 
 def name_merges(groups: DataFrame) -> DataFrame:
-    """(absorbed, leader): name groups whose name belongs to one root group, or to one that dominates."""
-    d = dominant(groups.where("key_kind = 'root'"), "name_key").where((F.col("members") == 1) | (F.col("dominated") & F.col("leads")))
-    return groups.where("key_kind = 'name'").join(d.select("name_key", F.col("key").alias("leader")), "name_key").select(F.col("key").alias("absorbed"), "leader")
+    """Decisions: name groups whose name belongs to one root group, or to one that dominates."""
+    d = dominant(groups.where("key_kind = 'root' AND name_key <> ''"), "name_key").where((F.col("members") == 1) | (F.col("dominated") & F.col("leads")))
+    named = groups.where("key_kind = 'name'").join(d.select("name_key", F.col("key").alias("leader")), "name_key")
+    return named.select(F.col("key").alias("absorbed"), F.lit("name").alias("absorbed_kind"), "leader", F.lit("root").alias("leader_kind"))
+
+
+def spelling_merges(groups: DataFrame) -> DataFrame:
+    """Decisions as those on typing errors, among names of which some group has no root."""
+    some = F.max(F.col("key_kind") == "name").over(Window.partitionBy("name_key"))
+    return _spelled_alike(groups.where("name_key <> ''").withColumn("some", some).where("some").drop("some"))
+
+
+def merged(spelled: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Spellings under the keys that decisions give them."""
+    d = decisions.select(F.col("absorbed").alias("key"), F.col("absorbed_kind").alias("key_kind"), "leader", "leader_kind")
+    key, kind = F.coalesce("leader", "key").alias("key"), F.coalesce("leader_kind", "key_kind").alias("key_kind")
+    return spelled.join(d, ["key", "key_kind"], "left").groupBy(key, kind, "name_key", "name").agg(F.sum("n").alias("n"))
+
+
+def consolidated(spelled: DataFrame, checkpoint) -> DataFrame:
+    """Spellings after the passes on typing errors, names and spellings, in this order; ``checkpoint`` stages a table.
+
+    Each pass decides on what the one before left: without the typing errors
+    a name points to one root, and only names that then still point to none
+    are left to the pass on spellings.
+    """
+    for decide in (typo_merges, name_merges, spelling_merges):
+        spelled = checkpoint(merged(spelled, decide(groups_of(spelled))))
+    return spelled
 
 
 def search_variants(spellings: DataFrame, key: str, n: str, always: int = 3, least: int = 2, share: float = 0.01) -> DataFrame:
@@ -85,19 +129,33 @@ def search_variants(spellings: DataFrame, key: str, n: str, always: int = 3, lea
 
 
 def pruned_spellings(spellings: DataFrame, key: str, n: str) -> DataFrame:
-    """Spellings of an entity without those that stand inside a longer one that is at least as frequent."""
-    s = spellings.select(key, "name", n, text.identity_tokens(F.col("name")).alias("toks"))
-    longer = s.select(key, F.col("name").alias("long"), F.col(n).alias("long_n"), F.col("toks").alias("long_toks"))
-    gone = s.join(longer, key).where(text.is_sub_phrase(F.col("toks"), F.col("long_toks")) & (F.col(n) <= F.col("long_n"))).select(key, "name")
-    return s.drop("toks").join(gone, [key, "name"], "left_anti")
+    """Spellings of an entity without those that stand inside a longer one that is at least as frequent.
+
+    Every run of words of a spelling meets the shorter spelling that it is;
+    spellings are never paired with each other.
+    """
+    s = spellings.select(key, "name", n, F.array_join(text.identity_tokens(F.col("name")), " ").alias("span"))
+    inside = s.select(key, F.col(n).alias("long_n"), F.explode(_inner_spans(F.col("span"))).alias("span")).groupBy(key, "span").agg(F.max("long_n").alias("long_n"))
+    left = s.join(inside, [key, "span"], "left").where((F.col("long_n").isNull()) | (F.col(n) > F.col("long_n")))
+    return left.select(key, "name", n)
+
+
+def _all_spans(name: Column, most: int | None = None) -> Column:
+    """Every run of words of a name, without repeats."""
+    toks = F.split(name, " ")
+    at = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most if most else 2**31 - 1), F.size(toks) - i + 1)), lambda k: F.array_join(F.slice(toks, i, k), " ")))
+    return F.array_distinct(F.flatten(at))
+
+
+def _inner_spans(name: Column) -> Column:
+    """Every run of words of a name but the whole."""
+    return F.array_remove(_all_spans(name), name)
 
 
 def spans(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """(name, span) for every run of words of the name, of up to ``most`` words if set."""
     df = df.select(F.col(name).alias("__n"))
-    toks = F.split("__n", " ")
-    at = F.transform(F.sequence(F.lit(1), F.size(toks)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most if most else 2**31 - 1), F.size(toks) - i + 1)), lambda k: F.array_join(F.slice(toks, i, k), " ")))
-    return df.select(F.col("__n").alias("name"), F.explode(F.array_distinct(F.flatten(at))).alias("span"))
+    return df.select(F.col("__n").alias("name"), F.explode(_all_spans(F.col("__n"), most)).alias("span"))
 
 
 def phrase_join(docs: DataFrame, id_col: str, toks: str, names: DataFrame, name: str, max_broadcast: int = 100_000, max_inline: int = 10_000) -> DataFrame:
@@ -141,17 +199,54 @@ def resolve_roots(pointers: DataFrame, node: str, to: str, checkpoint) -> DataFr
     return p.select("node").join(ends, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def facet_plan(groups: DataFrame, factor: int = 10) -> DataFrame:
-    """(facet, owner): a name that contains another entity's whole name and has far fewer rows belongs to it.
+def facet_plan(spelled: DataFrame, checkpoint, factor: int = 10) -> DataFrame:
+    """(facet, facet_kind, owner, outcome): which entities are a part, or the acronym, of another one.
 
-    Of several owners inside a name, only the single longest decides; ties abstain.
+    An owner has a root and is no territory. A facet has none, is no
+    association, its label holds the owner's whole label and each of its
+    pruned spellings holds one of the owner's. An entity whose label is one
+    word is a facet of the only owner that has this acronym, if a spelling of
+    the owner's shows it. Owners that are themselves acronyms stand for their
+    own owner, so two steps reach the end and no cycle can form. Outcome:
+    ``merged``; ``ambiguous``, with several owners; ``not dominant``, if the
+    owner has fewer than ``factor`` times the facet's rows. Owner is null
+    unless merged. Labels that look broken take no part.
     """
-    longest = groups.agg(F.max(F.size(F.split("name_key", " ")))).first()[0]
-    s = spans(groups.select(F.col("name_key")).distinct(), "name_key", longest).withColumnRenamed("name", "facet")
-    owners = groups.groupBy(F.col("name_key").alias("span")).agg(F.sum("rows").alias("owner_rows"))
-    small = groups.groupBy(F.col("name_key").alias("facet")).agg(F.sum("rows").alias("facet_rows"))
-    j = s.join(owners, "span").join(small, "facet").where("span <> facet").where(F.col("owner_rows") >= factor * F.col("facet_rows"))
-    w = Window.partitionBy("facet")
-    n = F.size(F.split("span", " "))
-    j = j.withColumn("n", n).withColumn("best", F.max(n).over(w)).where("n = best").withColumn("ties", F.count("*").over(w)).where("ties = 1")
-    return j.select("facet", F.col("span").alias("owner"))
+    both = ["key", "key_kind"]
+    label = F.array_join(text.identity_tokens(F.col("label")), " ")
+    g = checkpoint(groups_of(spelled).select(*both, "name_key", "rows", label.alias("label")).where("label <> ''").where(text.suspicious_name(F.col("label"), F.col("rows")).isNull()))
+    owns = g.where("key_kind = 'root'").where(~F.col("name_key").rlike(TERRITORY))
+    parts = g.where("key_kind = 'name'").where(~F.col("name_key").rlike(ASSOCIATION))
+    words = spelled.select(*both, "name_key", "name", "n", F.array_join(text.identity_tokens(F.col("name")), " ").alias("span"))
+
+    def decided(links: DataFrame) -> DataFrame:
+        """links (key, key_kind, rows, owner, owner_rows): one outcome a facet."""
+        one = links.groupBy(*both, "rows").agg(F.countDistinct("owner").alias("n"), F.min("owner").alias("owner"), F.min("owner_rows").alias("owner_rows"))
+        outcome = F.when(F.col("n") > 1, "ambiguous").when(F.col("owner_rows") < factor * F.col("rows"), "not dominant").otherwise("merged")
+        return one.withColumn("outcome", outcome).select(F.col("key").alias("facet"), F.col("key_kind").alias("facet_kind"), F.when(F.col("outcome") == "merged", F.col("owner")).alias("owner"), "outcome", "owner_rows")
+
+    # acronyms
+    short = owns.select("key", "name_key", F.col("rows").alias("owner_rows"), text.acronym(F.col("name_key")).alias("acronym")).where((F.length("acronym") >= ACRONYM_MIN) & F.col("name_key").contains(" "))
+    shows = F.array_contains(F.split("span", " "), F.col("acronym"))
+    short = short.join(words.where("key_kind = 'root'").select("key", "name_key", "span"), ["key", "name_key"]).where(shows).select(F.col("key").alias("owner"), "owner_rows", F.col("acronym").alias("label")).distinct()
+    single = short.withColumn("n", F.count("*").over(Window.partitionBy("label"))).where("n = 1").drop("n")
+    by_acronym = checkpoint(decided(g.where(~F.col("label").contains(" ")).join(single, "label").where("NOT (key_kind = 'root' AND key = owner)")))
+
+    # parts: by label, then by every spelling
+    named = owns.select(F.col("key").alias("owner"), F.col("rows").alias("owner_rows"), F.col("label").alias("span"))
+    pairs = checkpoint(parts.select(*both, "rows", F.explode(_inner_spans(F.col("label"))).alias("span")).join(named, "span").drop("span"))
+    counted = pruned_spellings(words.where("key_kind = 'name'").select("key", "name", "n"), "key", "n").select("key", F.array_join(text.identity_tokens(F.col("name")), " ").alias("text")).where("text <> ''").distinct()
+    told = pairs.join(counted, "key")
+    inner = told.select("key", "owner", "text", F.explode(_inner_spans(F.col("text"))).alias("span"))
+    holds = inner.join(words.where("key_kind = 'root'").select(F.col("key").alias("owner"), "span").distinct(), ["owner", "span"]).select("key", "owner", "text").distinct()
+    broken = told.select("key", "owner", "text").join(holds, ["key", "owner", "text"], "left_anti").select("key", "owner").distinct()
+    pairs = pairs.join(broken, ["key", "owner"], "left_anti")
+    up = by_acronym.where("outcome = 'merged' AND facet_kind = 'root'").select(F.col("facet").alias("owner"), F.col("owner").alias("up"), F.col("owner_rows").alias("up_rows"))
+    chased = pairs.join(up, "owner", "left").select(*both, "rows", F.coalesce("up", "owner").alias("owner"), F.coalesce("up_rows", "owner_rows").alias("owner_rows"))
+    return by_acronym.unionByName(decided(chased)).drop("owner_rows")
+
+
+def facet_merges(spelled: DataFrame, checkpoint, factor: int = 10) -> DataFrame:
+    """Decisions of the facet plan."""
+    p = facet_plan(spelled, checkpoint, factor).where("outcome = 'merged'")
+    return p.select(F.col("facet").alias("absorbed"), F.col("facet_kind").alias("absorbed_kind"), F.col("owner").alias("leader"), F.lit("root").alias("leader_kind"))

@@ -108,7 +108,7 @@ def test_stage_ladder(spark):
 def test_dominance(spark):
     rows = [("r1", "root", "INSS", "INSS", 764)] + [(f"t{i}", "root", "INSS", "Inss", 1) for i in range(4)] + [(f"f{i}", "root", "FUNDO", "FUNDO", 1) for i in range(85)]
     g = spark.createDataFrame(rows, "key string, key_kind string, name_key string, label string, rows long")
-    assert {tuple(r) for r in entities.typo_merges(g).collect()} == {(f"t{i}", "r1") for i in range(4)}
+    assert {tuple(r) for r in entities.typo_merges(g).select("absorbed", "leader").collect()} == {(f"t{i}", "r1") for i in range(4)}
 
 
 def test_pointer_roots_with_a_cycle(spark):
@@ -234,3 +234,52 @@ def test_lawyer_names():
 
     assert names_before_bar("Adv. João da Silva OAB/SP 1; pela ré, Maria Lima (OAB 2)") == ["JOÃO DA SILVA", "MARIA LIMA"]
     assert page_text("<p>a</p><script>var t='</p>'</script><b>c &amp; d") == "a c & d"
+
+
+def test_facets_go_to_the_one_dominant_owner(spark, tmp_path):
+    from itertools import count
+
+    from lexmill.sources.files import staged
+
+    n = count()
+    checkpoint = lambda d: staged(d, f"{tmp_path}/{next(n)}")
+    rows = [
+        ("29979036", "root", "INSTITUTO NACIONAL SEGURO SOCIAL", "Instituto Nacional do Seguro Social", 600),
+        ("29979036", "root", "INSTITUTO NACIONAL SEGURO SOCIAL", "Instituto Nacional do Seguro Social - INSS", 20),
+        ("11111111", "root", "INSS", "INSS", 50),
+        ("05489410", "root", "PROCURADORIA FEDERAL GERAL", "Procuradoria Federal Geral", 300),
+        ("22222222", "root", "ESTADO GOIAS", "Estado de Goiás", 900),
+        ("CEAB", "name", "CEAB", "CEAB - INSS", 4),
+        ("CEAB SETOR", "name", "CEAB SETOR", "CEAB Setor", 3),
+        ("CEAB SETOR", "name", "CEAB SETOR", "CEAB Setor INSS", 4),
+        ("INSS PROCURADORIA FEDERAL GERAL", "name", "INSS PROCURADORIA FEDERAL GERAL", "INSS Procuradoria Federal Geral", 1),
+        ("CONSELHO ESTADO GOIAS", "name", "CONSELHO ESTADO GOIAS", "Conselho do Estado de Goiás", 1),
+        ("ASSOCIACAO INSS", "name", "ASSOCIACAO INSS", "Associação do INSS", 1),
+        ("PROCURADORIA FEDERAL GERAL NORTE", "name", "PROCURADORIA FEDERAL GERAL NORTE", "Procuradoria Federal Geral Norte", 31),
+        ("INSS SEDE", "name", "INSS SEDE", "INSS Sede", 5),
+        ("INSS SEDE", "name", "INSS SEDE", "Sede Central", 4),
+    ]
+    s = spark.createDataFrame(rows, "key string, key_kind string, name_key string, name string, n long")
+    got = {(r["facet"], r["owner"], r["outcome"]) for r in entities.facet_plan(s, checkpoint).collect()}
+    assert got == {
+        ("11111111", "29979036", "merged"),  # the acronym that a spelling shows
+        ("CEAB", "29979036", "merged"),  # through the acronym to its owner
+        ("CEAB SETOR", "29979036", "merged"),  # the shorter, rarer spelling does not count
+        ("INSS PROCURADORIA FEDERAL GERAL", None, "ambiguous"),
+        ("PROCURADORIA FEDERAL GERAL NORTE", None, "not dominant"),
+    }
+    after = {(r["key"], r["n"]) for r in entities.merged(s, entities.facet_merges(s, checkpoint)).groupBy("key").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert ("29979036", 600 + 20 + 50 + 4 + 7) in after and sum(x for _, x in after) == sum(r[-1] for r in rows)
+
+
+def test_pruned_spellings_keep_the_more_frequent_short_form(spark):
+    rows = [(1, "BANCO ALFA", 9), (1, "BANCO ALFA SA", 5), (2, "FUNDO SAUDE", 4), (2, "FUNDO SAUDE CENTRAL", 7), (3, "S", 1), (3, "S.A. (VIAÇÃO)", 1), (4, "CASA", 1), (5, "CASA VERDE", 9)]
+    s = spark.createDataFrame(rows, "key int, name string, n int")
+    assert {(r["key"], r["name"]) for r in entities.pruned_spellings(s, "key", "n").collect()} == {(1, "BANCO ALFA"), (1, "BANCO ALFA SA"), (2, "FUNDO SAUDE CENTRAL"), (3, "S.A. (VIAÇÃO)"), (4, "CASA"), (5, "CASA VERDE")}
+
+
+def test_spellings_without_a_root_absorb_single_rows(spark):
+    rows = [("UNIAO FEDERAL", "name", "UNIAO FEDERAL", "União Federal", 119), ("00000001", "root", "UNIAO FEDERAL", "UNIÃO FEDERAL", 1), ("00000002", "root", "UNIAO FEDERAL", "União Federal", 1), ("00000003", "root", "UNIAO FEDERAL", "União Federal LTDA", 1)]
+    rows += [(f"1{i:07d}", "root", "FUNDO MUNICIPAL SAUDE", "Fundo Municipal de Saúde", 1) for i in range(20)]
+    g = entities.groups_of(spark.createDataFrame(rows, "key string, key_kind string, name_key string, name string, n long"))
+    assert {tuple(r) for r in entities.spelling_merges(g).collect()} == {(k, "root", "UNIAO FEDERAL", "name") for k in ("00000001", "00000002")}
