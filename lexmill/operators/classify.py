@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ids, numbers
 from lexmill.functions.text import fold
+from lexmill.operators.aggregates import kolmogorov_smirnov
 
 # What each signal looks like in a movement's folded text.
 SIGNALS = {
@@ -94,6 +95,65 @@ def features(s: DataFrame) -> DataFrame:
     return s.withColumn("f_movements", numbers.log_ratio(F.col("movements"), SCALES["movements"])).withColumn("f_signals", numbers.log_ratio(total, SCALES["signals"])).withColumn("f_paid_after", (F.col("payment_last").isNotNull() & (F.col("issued_last").isNull() | (F.col("payment_last") >= F.col("issued_last")))).cast("int")).withColumn("f_lost", (F.col("denied_last").isNotNull() & (F.col("issued_last").isNull() | (F.col("denied_last") > F.col("issued_last")))).cast("int"))
 
 
+# What the features of a case seek in a movement's folded text, movement kinds that count, words of classes
+# that speak against a case, and the means, deviations and bases by which features are scaled.
+FEATURE_TEXTS = {
+    "precat": r"precatorio",
+    "rpv": r"\brpv\b",
+    "request_payment": r"requisicao de pagamento",
+    "office": r"oficio requisitorio",
+    "cancelled": r"cancelamento de precatorio|cancelamento de rpv|revogacao de precatorio|revogacao de rpv",
+    "sent": r"precatorio expedido|rpv expedida|oficio requisitorio expedido|requisicao de pagamento de pequeno valor enviada|requisicao de pagamento de precatorio enviada|determinada expedicao de precatorio|determinada expedicao de rpv|expedicao de requisicao de pagamento",
+    "paid": r"alvara\s+(judicial|de\s+levantamento)|expecam?-se\s+(o\s+)?alvara|autorizo[^.]{0,150}sequestro|defiro[^.]{0,100}sequestro|sequestro\s+do\s+numerario|julgo\s+extint[oa]|mandado\s+de\s+levantamento",
+    "ended": r"extin\w+.{0,40}sem\s+resolucao\s+do\s+merito|improceden|indefer\w+\s+a\s+(peticao|inicial|exordial)|denego\s+seguimento|nego\s+provimento|(decreto|reconheco|pronuncio)\s+a\s+prescri",
+}
+PRECAT_KINDS = ("Expedição de precatório/rpv", "Precatório")
+SENT_KINDS = ("Enviada ao Tribunal", "Preparada para Envio")
+ANTI_CLASSES = ("juizado especial", "recurso inominado", "procedimento comum")
+YEAR_MEAN, YEAR_SD = 2019.66, 6.49
+AGE_MEAN, AGE_SD = 532.24, 574.57
+NEVER_DAYS = 9999
+MOVEMENT_BASE, KIND_BASE, SIGNAL_BASE, PARTY_BASE = 500, 50, 20, 50
+
+
+def case_features(cases: DataFrame, movements: DataFrame, parties: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """The feature vector of every case: 19 features of the score and two signals for rules (``f24``, ``f30``).
+
+    cases: key, number, class_code, class_name; movements: key, kind, text, at
+    (a timestamp); parties: key, one row a party. One aggregation a table; a
+    case without movements has zeros, the features of its class and year, and
+    an age of ``NEVER_DAYS``. No features are null.
+    """
+    t = fold(F.coalesce(F.col("text"), F.lit("")))
+    flags = movements.select(key, "kind", "at", *[t.rlike("(?s)" + p).alias(k) for k, p in FEATURE_TEXTS.items()])
+    last = lambda k: F.max(F.when(F.col(k), F.col("at"))).alias(f"{k}_at")
+    moves = flags.groupBy(key).agg(
+        F.count("*").alias("n"), F.countDistinct(F.when(F.col("kind") != "", F.col("kind"))).alias("kinds"), F.max("at").alias("at"),
+        F.count_if(F.col("kind").isin(*PRECAT_KINDS)).alias("precat_kind"), F.count_if(F.col("kind").isin(*SENT_KINDS)).alias("sent_kind"),
+        *[F.count_if(k).alias(k) for k in FEATURE_TEXTS], *[last(k) for k in ("sent", "paid", "ended")],
+    )
+    d = cases.join(moves, key, "left").join(parties.groupBy(key).agg(F.count("*").alias("parties")), key, "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    some = lambda c: (n(F.col(c)) > 0).cast("int")
+    name = F.lower(F.coalesce("class_name", F.lit("")))
+    enforcement = F.coalesce(F.col("class_code").isin(*ENFORCEMENT_CLASSES), F.lit(False)).cast("int")
+    anti = (name.contains(ANTI_CLASSES[0]) | name.contains(ANTI_CLASSES[1]) | name.contains(ANTI_CLASSES[2])).cast("int")
+    year = ids.case_year(F.col("number"))
+    age = F.coalesce(F.timestamp_diff("SECOND", F.col("at"), as_of) / 86400, F.lit(float(NEVER_DAYS)))
+    after = lambda c: F.coalesce(F.col(c).isNotNull() & (F.col("sent_at").isNull() | (F.col(c) >= F.col("sent_at"))), F.lit(False)).cast("int")
+    movements_log = numbers.log_ratio(n(F.col("n")), MOVEMENT_BASE)
+    return d.select(
+        key, enforcement.alias("f1"), anti.alias("f10"), some("precat_kind").alias("f2"), some("sent_kind").alias("f7"),
+        some("precat").alias("f11"), some("rpv").alias("f12"), some("request_payment").alias("f13"), some("office").alias("f14"),
+        movements_log.alias("f15"), numbers.log_ratio(n(F.col("kinds")), KIND_BASE).alias("f16"),
+        numbers.log_ratio(n(F.col("precat")) + n(F.col("rpv")) + n(F.col("request_payment")) + n(F.col("office")), SIGNAL_BASE).alias("f17"),
+        F.when(year > 0, numbers.z_score(year, YEAR_MEAN, YEAR_SD)).otherwise(0.0).alias("f18"), some("cancelled").alias("f19"), some("sent").alias("f20"),
+        numbers.z_score(age, AGE_MEAN, AGE_SD).alias("f21"), F.when(F.col("n").isNotNull(), numbers.log_ratio(n(F.col("parties")), PARTY_BASE)).otherwise(0.0).alias("f23"),
+        (enforcement * some("precat")).alias("f1xf11"), (enforcement * movements_log).alias("f1xf15"), (enforcement * some("sent")).alias("f1xf20"),
+        after("paid_at").alias("f24"), after("ended_at").alias("f30"),
+    )
+
+
 def linear_score(columns: dict[str, Column], weights: dict[str, float], bias: float = 0.0) -> Column:
     """Sigmoid of the weighted sum; a feature without a weight counts nothing."""
     z = F.lit(float(bias))
@@ -169,3 +229,65 @@ def stage_label(issued: Column, pre: Column, right: Column, satisfied: Column, e
     """A case's label from its files: issued over pre over right, none without; closing overrides last."""
     base = F.when(issued, "issued").when(pre, "pre").when(right, "right")
     return F.when(base.isNull(), base).when(satisfied | (extinct & paid & issued) | (dismissed & ~issued), "closed").otherwise(base)
+
+
+def latest_shadow(cases: DataFrame, logs: DataFrame, key: str, at: str) -> DataFrame:
+    """Cases (key, court, category, score) beside the newest of their logs (key, ``at``, shadow_category, shadow_score)."""
+    newest = logs.groupBy(key).agg(F.max_by(F.struct("shadow_category", "shadow_score"), F.struct(at, "shadow_score", "shadow_category")).alias("s"))
+    return cases.join(newest.select(key, "s.*"), key)
+
+
+def court_agreement(shadow: DataFrame) -> DataFrame:
+    """Per court, and over all as court null: pairs, disagreements, agreement and the distance of both scores' distributions.
+
+    Scores are compared at six digits, so no court has over a million values to rank.
+    """
+    both = shadow.withColumn("court", F.explode(F.array("court", F.lit(None).cast("string"))))
+    same = F.coalesce("category", F.lit("")) == F.coalesce("shadow_category", F.lit(""))
+    per = both.groupBy("court").agg(F.count("*").alias("total"), F.count_if(~same).alias("disagreements"))
+    sides = F.explode(F.array(F.struct(F.round("score", 6).alias("value"), F.lit(True).alias("current")), F.struct(F.round("shadow_score", 6).alias("value"), F.lit(False).alias("current")))).alias("v")
+    ks = kolmogorov_smirnov(both.select("court", sides).select("court", "v.*").where("value IS NOT NULL"), "value", "current", ["court"])
+    on = per["court"].eqNullSafe(ks["court"])
+    return per.join(ks, on, "left").select(per["court"], "total", "disagreements", F.round(1 - F.col("disagreements") / F.col("total"), 6).alias("agreement"), "ks")
+
+
+def widest_disagreements(shadow: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """The cases of different categories whose scores lie furthest apart."""
+    differ = F.coalesce("category", F.lit("")) != F.coalesce("shadow_category", F.lit(""))
+    d = shadow.where(differ & F.col("score").isNotNull()).withColumn("delta", F.col("shadow_score") - F.col("score"))
+    return d.orderBy(F.desc(F.abs("delta")), key).limit(most)
+
+
+def _by_hash(key: str, seed: int, *more: Column) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)), *more))
+
+
+def quota_sample(df: DataFrame, key: str, stratum: str, strata: int, limit: int, seed: int) -> DataFrame:
+    """An equal share of ``limit`` from each of ``strata`` strata (at least one row), by hash of id, seed and stratum."""
+    h = _by_hash(key, seed, F.col(stratum).cast("string"))
+    d = df.withColumn("__h", h).withColumn("__p", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    return d.where(F.col("__p") <= max(1, limit // max(1, strata))).orderBy(stratum, "__h", key).limit(limit).drop("__h", "__p")
+
+
+def validation_sample(cases: DataFrame, strategy: str, key: str, limit: int, seed: int, listed: DataFrame | None = None, seen: DataFrame | None = None, courts: int = 1, band: tuple[float, float] = (0.30, 0.50)) -> DataFrame:
+    """Cases (key, court, category, score) to be looked at by a person; none of ``seen`` comes again.
+
+    borderline: scores in the band, shared among courts; issued_high: issued
+    with a score of 0.85 or more, by hash; none_top: the highest scores of none
+    from 0.05; by_category: shared among the four categories; missed: listed
+    cases of none from 0.30; recovered, consumed: all listed, highest first.
+    """
+    d = cases.join(seen.select(key), key, "left_anti") if seen is not None else cases
+    first = lambda x: x.orderBy(F.desc_nulls_first("score"), F.desc(key)).limit(limit)
+    if strategy == "borderline":
+        return quota_sample(d.where((F.col("score") >= band[0]) & (F.col("score") < band[1])), key, "court", courts, limit, seed)
+    if strategy == "issued_high":
+        return d.where((F.col("category") == "issued") & (F.col("score") >= 0.85)).orderBy(_by_hash(key, seed), key).limit(limit)
+    if strategy == "none_top":
+        return first(d.where((F.col("category") == "none") & (F.col("score") >= 0.05)))
+    if strategy == "by_category":
+        return quota_sample(d.where(F.col("category").isNotNull()), key, "category", 4, limit, seed)
+    if strategy not in ("missed", "recovered", "consumed") or listed is None:
+        raise ValueError(f"no strategy {strategy}, or it needs a list")
+    d = d.join(listed.select(key).distinct(), key, "left_semi")
+    return first(d.where((F.col("category") == "none") & (F.col("score") >= 0.30)) if strategy == "missed" else d)

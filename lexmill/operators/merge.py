@@ -7,16 +7,33 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold
 
-# Roles by pole, as the start of folded text.
-PASSIVE = ("reu", "requerid", "executad", "reclamad", "apelad", "agravad", "recorrid", "devedor", "impetrad", "embargad")
-ACTIVE = ("autor", "requerente", "exequente", "reclamante", "apelante", "agravante", "recorrente", "credor", "impetrante", "embargante")
+# Roles by pole on folded text. Short forms count only whole: as a start they would take the active roles too.
+PASSIVE_WHOLE = ("reu", "re", "reu/re")
+PASSIVE = ("exectd", "reqd", "requerid", "apd", "apelad", "embd", "embargad", "impd", "impetrad", "agvd", "agravad", "rcld", "reclamad", "recd", "recorrid", "executad")
+ACTIVE = ("exequent", "exeqte", "reqte", "requerent", "autor", "apte", "apelant", "embte", "embargant", "impte", "impetrant", "agvte", "agravant", "rclte", "reclamant", "recte", "recorrent")
 
 
 def pole_of(role: Column) -> Column:
     """passive, active or other; passive is looked for first."""
     r = fold(F.trim(F.coalesce(role, F.lit(""))))
     starts = lambda words: r.rlike(f"^({'|'.join(words)})")
-    return F.when(starts(PASSIVE), "passive").when(starts(ACTIVE), "active").otherwise("other")
+    return F.when(r.isin(*PASSIVE_WHOLE) | starts(PASSIVE), "passive").when(starts(ACTIVE), "active").otherwise("other")
+
+
+def recomputed_poles(parties: DataFrame, id_col: str, slot: list[str], role: str, pole: str, represents: str) -> DataFrame:
+    """(id, pole) of rows of pole other whose role tells their pole.
+
+    A row that represents nobody stays where it is if the slot (``slot``,
+    role and new pole) is taken by another such row; of several rows that
+    would take it, the smallest id does.
+    """
+    d = parties.select(id_col, *slot, role, pole, represents, pole_of(F.col(role)).alias("to"))
+    moving = d.where((F.col(pole) == "other") & (F.col("to") != "other"))
+    free = moving.where(F.col(represents).isNotNull()).select(id_col, F.col("to").alias("pole"))
+    keys = [*slot, role, "to"]
+    taken = d.where(F.col(represents).isNull()).select(*slot, role, F.col(pole).alias("to")).distinct()
+    one = moving.where(F.col(represents).isNull()).groupBy(*keys).agg(F.min(id_col).alias(id_col))
+    return free.unionByName(one.join(taken, keys, "left_anti").select(id_col, F.col("to").alias("pole")))
 
 
 def insert_new(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

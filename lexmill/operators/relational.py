@@ -68,6 +68,13 @@ def encode_cursor(values: list, ordering: str) -> str:
     return base64.urlsafe_b64encode(json.dumps({"o": ordering, "v": values}).encode()).decode()
 
 
+def cursor_of(values: list[Column], ordering: str) -> Column:
+    """A row's cursor as ``decode_cursor`` reads it, so that any row of a page can be where the next begins."""
+    v = F.array(*[F.coalesce(F.to_json(F.array(x)), F.lit("[null]")) for x in values])
+    items = F.array_join(F.transform(v, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), ", ")
+    return F.translate(F.base64(F.concat(F.lit(f'{{"o": {json.dumps(ordering)}, "v": ['), items, F.lit("]}")).cast("binary")), "+/", "-_")
+
+
 def decode_cursor(cursor: str, ordering: str) -> list:
     """The sort values; ValueError if the cursor is damaged or of another ordering."""
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,48 @@ def f43(spark, sf):
     return table(spark, sf, "lineitem").groupBy(k.alias("k"), F.try_element_at(types, F.lit(1))["type"].alias("first_type")).agg(F.count("*").alias("n"))
 
 
-@query("c01_case_features", f"SELECT \"case\", movements, issued_n, request_n, payment_n, round(ln(1 + movements) / ln(500), 6) AS f_movements, {PAID}::INT AS f_paid_after FROM {SIGNALS}")
+@query("c01_signal_features", f"SELECT \"case\", movements, issued_n, request_n, payment_n, round(ln(1 + movements) / ln(500), 6) AS f_movements, {PAID}::INT AS f_paid_after FROM {SIGNALS}")
 def c01(spark, sf):
     return signals(spark, sf).select("case", "movements", "issued_n", F.col("request_n"), "payment_n", F.round("f_movements", 6).alias("f_movements"), "f_paid_after")
 
 
+# A movement's text by (part key mod 10) and kind by (supplier key mod 4), a case's class by (order key mod 7) and (mod 3).
+FEATURE_TEXTS = (
+    "Precatório expedido nos autos", "RPV expedida", "Expedição de requisição de pagamento", "Ofício requisitório", "Cancelamento de RPV", "Defiro o pedido de\nsequestro",
+    "Extinto o processo, sem resolução do mérito", "Nego provimento", "Despacho sobre rpvs", "Mandado de levantamento",
+)
+KINDS = ("Intimação", "Precatório", "Enviada ao Tribunal", "")
+CLASS_CODES, CLASS_NAMES = ("156", "12078", "7", "436", "198", "1", "2"), ("Juizado Especial Cível", "Cumprimento de Sentença", "Procedimento Comum")
+# Which texts each feature finds, by the rules read on the list above.
+FOUND = {"precat": (0,), "rpv": (1, 4), "request_payment": (2,), "office": (3,), "cancelled": (4,), "sent": (0, 1, 2), "paid": (5, 9), "ended": (6, 7)}
+_AT = lambda name: f"max(CASE WHEN k IN ({', '.join(map(str, FOUND[name]))}) THEN moved END)"
+_N = lambda name: f"count(*) FILTER (WHERE k IN ({', '.join(map(str, FOUND[name]))}))"
+FEATURES = (
+    "WITH m AS (SELECT l_orderkey AS o_orderkey, l_partkey % 10 AS k, l_suppkey % 4 AS kind, l_shipdate AS moved FROM lineitem WHERE l_orderkey % 11 <> 0), "
+    "a AS (SELECT o_orderkey, count(*) AS n, count(DISTINCT CASE WHEN kind <> 3 THEN kind END) AS kinds, max(moved) AS moved, count(*) FILTER (WHERE kind = 1) AS precat_kind, count(*) FILTER (WHERE kind = 2) AS sent_kind, "
+    + ", ".join(f"{_N(k)} AS {k}" for k in FOUND) + ", " + ", ".join(f"{_AT(k)} AS {k}_at" for k in ("sent", "paid", "ended")) + " FROM m GROUP BY 1), "
+    "p AS (SELECT l_orderkey AS o_orderkey, count(*) AS parties FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1), "
+    "d AS (SELECT o.o_orderkey, (o.o_orderkey % 7 < 2)::INT AS f1, (o.o_orderkey % 3 <> 1)::INT AS f10, CASE WHEN o.o_orderkey % 13 <> 0 THEN 1990 + o.o_orderkey % 34 ELSE 0 END AS y, a.*, p.parties FROM orders o LEFT JOIN a ON a.o_orderkey = o.o_orderkey LEFT JOIN p ON p.o_orderkey = o.o_orderkey) "
+    "SELECT o_orderkey, f1, f10, (coalesce(precat_kind, 0) > 0)::INT AS f2, (coalesce(sent_kind, 0) > 0)::INT AS f7, (coalesce(precat, 0) > 0)::INT AS f11, (coalesce(rpv, 0) > 0)::INT AS f12, (coalesce(request_payment, 0) > 0)::INT AS f13, (coalesce(office, 0) > 0)::INT AS f14, "
+    "round(ln(1 + coalesce(n, 0)) / ln(500), 6) AS f15, round(ln(1 + coalesce(kinds, 0)) / ln(50), 6) AS f16, round(ln(1 + coalesce(precat + rpv + request_payment + office, 0)) / ln(20), 6) AS f17, "
+    "CASE WHEN y > 0 THEN round((y - 2019.66) / 6.49::DOUBLE, 6) ELSE 0 END AS f18, (coalesce(cancelled, 0) > 0)::INT AS f19, (coalesce(sent, 0) > 0)::INT AS f20, round((coalesce(date_diff('second', moved, TIMESTAMP '2002-01-01') / 86400, 9999) - 532.24) / 574.57::DOUBLE, 6) AS f21, "
+    "CASE WHEN n IS NULL THEN 0 ELSE round(ln(1 + coalesce(parties, 0)) / ln(50), 6) END AS f23, f1 * (coalesce(precat, 0) > 0)::INT AS f1xf11, round(f1 * ln(1 + coalesce(n, 0)) / ln(500), 6) AS f1xf15, f1 * (coalesce(sent, 0) > 0)::INT AS f1xf20, "
+    "(paid_at IS NOT NULL AND (sent_at IS NULL OR paid_at >= sent_at))::INT AS f24, (ended_at IS NOT NULL AND (sent_at IS NULL OR ended_at >= sent_at))::INT AS f30 FROM d"
+)
+
+
+@query("c01_case_features", FEATURES)
+def c01_vector(spark, sf):
+    nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    k = F.col("o_orderkey")
+    number = F.when(k % 13 != 0, F.concat(F.lit("0000001-02."), (1990 + k % 34).cast("string"), F.lit(".8.02.0001")))
+    c = table(spark, sf, "orders").select("o_orderkey", number.alias("number"), nth(CLASS_CODES, k % 7).alias("class_code"), nth(CLASS_NAMES, k % 3).alias("class_name"))
+    l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    m = l.where("o_orderkey % 11 <> 0").select("o_orderkey", nth(KINDS, F.col("l_suppkey") % 4).alias("kind"), nth(FEATURE_TEXTS, F.col("l_partkey") % 10).alias("text"), F.col("l_shipdate").alias("at"))
+    f = cl.case_features(c, m, l.where("l_returnflag <> 'N'"), "o_orderkey", F.lit("2002-01-01").cast("timestamp_ntz"))
+    return f.select(*[F.round(x, 6).alias(x) if t == "double" else F.col(x) for x, t in f.dtypes])
+
+
 @query("c02_linear_score", f"SELECT \"case\", round({SCORE}, 6) AS score FROM {SIGNALS}")
 def c02(spark, sf):
     return with_score(spark, sf).select("case", F.round("score", 6).alias("score"))
@@ -86,7 +125,10 @@ def c04(spark, sf):
     return s.select("case", o.alias("o")).select("case", "o.category", F.round("o.score", 6).alias("score"))
 
 
-@query("c05_explanation")
+_PARTS = f"[{{'c': 2.0 * ln(1 + movements) / ln(500), 'n': 'f_movements'}}, {{'c': 3.0 * ln(1 + issued_n + request_n) / ln(20), 'n': 'f_signals'}}, {{'c': -1.0 * {PAID}::INT, 'n': 'f_paid_after'}}]"
+
+
+@query("c05_explanation", f"SELECT \"case\", coalesce((SELECT string_agg(x.n || '=' || format('{{:.3f}}', x.c), '; ' ORDER BY abs(x.c) DESC, x.n) FROM (SELECT unnest(p) AS x) WHERE abs(x.c) > 0.001), '') AS why FROM (SELECT \"case\", {_PARTS} AS p FROM {SIGNALS})")
 def c05(spark, sf):
     return signals(spark, sf).select("case", F.concat_ws("; ", cl.contributions({k: F.col(k) for k in WEIGHTS}, WEIGHTS)).alias("why"))
 
@@ -140,11 +182,38 @@ def c11(spark, sf):
     return cl.gates(m, [("auc", 0.95, 0.9), ("ece", 0.6, 0.4), ("p500", 0.9, 0.8), ("ks", 0.5, 0.4)])
 
 
-@query("c12_shadow_comparison", f"WITH l AS (SELECT lang, doc_id, (score >= 0.5)::INT AS a, (quality * 0.6 + score * 0.4 >= 0.5)::INT AS b, abs(score - (quality * 0.6 + score * 0.4)) AS gap FROM {SCORED}) SELECT lang, a, b, count(*) AS n, round(max(gap), 6) AS widest FROM l GROUP BY 1, 2, 3")
+# Two logs a document with other scores; the newest counts.
+LADDER = "CASE WHEN {0} >= 0.7 THEN 'issued' WHEN {0} >= 0.4 THEN 'pre' WHEN {0} >= 0.2 THEN 'right' ELSE 'none' END"
+_OTHER = "((d.doc_id * 331 + n * 97) % 1000) / 1000.0::DOUBLE"
+SHADOW = f"(SELECT doc_id, lang, score, category, other, {LADDER.format('other')} AS shadow_category FROM (SELECT d.doc_id, lang, CASE WHEN d.doc_id % 17 <> 0 THEN score END AS score, {LADDER.format('score')} AS category, {_OTHER} AS other FROM {SCORED} d, (SELECT 1 + (range % 2) AS n FROM range(1, 3)) WHERE n = CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 2 END))"
+
+
+def ladder(score):
+    return F.when(score >= 0.7, "issued").when(score >= 0.4, "pre").when(score >= 0.2, "right").otherwise("none")
+
+
+def shadow(spark, sf):
+    d = scored(spark, sf)
+    cases = d.select("doc_id", F.col("lang").alias("court"), ladder(F.col("score")).alias("category"), F.when(F.col("doc_id") % 17 != 0, F.col("score")).alias("score"))
+    logs = d.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    logs = logs.withColumn("shadow_score", F.pmod(F.col("doc_id") * 331 + F.col("n") * 97, F.lit(1000)) / 1000.0)
+    at = F.when(F.col("doc_id") % 3 == 0, -F.col("n")).otherwise(F.col("n"))  # of every third document the first log is the newest
+    return cl.latest_shadow(cases, logs.select("doc_id", "shadow_score", ladder(F.col("shadow_score")).alias("shadow_category"), at.alias("at")), "doc_id", "at")
+
+
+@query("c12_shadow_comparison", f"SELECT lang AS court, category, shadow_category, count(*) AS n FROM {SHADOW} GROUP BY ALL")
 def c12(spark, sf):
-    other = F.col("quality") * 0.6 + F.col("score") * 0.4
-    d = scored(spark, sf).select("lang", (F.col("score") >= 0.5).cast("int").alias("a"), (other >= 0.5).cast("int").alias("b"), F.abs(F.col("score") - other).alias("gap"))
-    return d.groupBy("lang", "a", "b").agg(F.count("*").alias("n"), F.round(F.max("gap"), 6).alias("widest"))
+    return shadow(spark, sf).groupBy("court", "category", "shadow_category").agg(F.count("*").alias("n"))
+
+
+@query("c12_court_agreement", f"WITH s AS (SELECT lang AS court, * FROM {SHADOW} UNION ALL SELECT NULL, * FROM {SHADOW}), v AS (SELECT court, score AS v, 1 AS a, 0 AS b FROM s WHERE score IS NOT NULL UNION ALL SELECT court, other, 0, 1 FROM s), p AS (SELECT court, v, sum(a) AS a, sum(b) AS b FROM v GROUP BY 1, 2), k AS (SELECT court, abs(sum(a) OVER (PARTITION BY court ORDER BY v) / sum(a) OVER (PARTITION BY court) - sum(b) OVER (PARTITION BY court ORDER BY v) / sum(b) OVER (PARTITION BY court)) AS gap FROM p), m AS (SELECT court, round(max(gap), 6) AS ks FROM k GROUP BY 1) SELECT s.court, count(*) AS total, count(*) FILTER (WHERE category <> shadow_category) AS disagreements, round(1 - count(*) FILTER (WHERE category <> shadow_category) / count(*), 6) AS agreement, any_value(ks) AS ks FROM s JOIN m ON s.court IS NOT DISTINCT FROM m.court GROUP BY 1")
+def c12_courts(spark, sf):
+    return cl.court_agreement(shadow(spark, sf))
+
+
+@query("c12_widest_disagreements", f"SELECT doc_id, category, shadow_category, round(other - score, 6) AS delta FROM {SHADOW} WHERE category <> shadow_category AND score IS NOT NULL ORDER BY abs(other - score) DESC, doc_id LIMIT 50")
+def c12_widest(spark, sf):
+    return cl.widest_disagreements(shadow(spark, sf), "doc_id").select("doc_id", "category", "shadow_category", F.round("delta", 6).alias("delta"))
 
 
 @query("c13_survival_rows", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, coalesce(min(CASE WHEN l_returnflag = 'R' THEN l_shipdate END)::DATE, DATE '2001-12-31'))::INT AS days, (count(*) FILTER (WHERE l_returnflag = 'R') > 0 AND o_orderstatus <> 'P')::INT AS event FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_orderstatus")
@@ -172,6 +241,24 @@ def c15(spark, sf):
     return rel.stratified(scored(spark, sf).where(F.col("score").between(0.35, 0.45)), "lang", "doc_id", 5, 5).select("doc_id", "lang", "place")
 
 
+_CASES = f"(SELECT doc_id, lang AS court, score, {LADDER.format('score')} AS category FROM {SCORED} WHERE doc_id % 10 <> 9)"
+_QUOTA = "(SELECT doc_id FROM (SELECT doc_id, {0} AS s, md5(doc_id::VARCHAR || '5' || {0}) AS h, row_number() OVER (PARTITION BY {0} ORDER BY md5(doc_id::VARCHAR || '5' || {0}), doc_id) AS p FROM " + _CASES + " WHERE {1}) WHERE p <= {2} ORDER BY s, h, doc_id LIMIT 40)"
+_TOP = f"(SELECT doc_id FROM {_CASES} WHERE {{0}} ORDER BY score DESC, doc_id DESC LIMIT 40)"
+SAMPLES = {
+    "borderline": _QUOTA.format("court", "score >= 0.3 AND score < 0.5", 10), "issued_high": f"(SELECT doc_id FROM {_CASES} WHERE category = 'issued' AND score >= 0.85 ORDER BY md5(doc_id::VARCHAR || '5'), doc_id LIMIT 40)",
+    "none_top": _TOP.format("category = 'none' AND score >= 0.05"), "by_category": _QUOTA.format("category", "true", 10), "missed": _TOP.format("doc_id % 3 = 0 AND category = 'none' AND score >= 0.3"),
+    "recovered": _TOP.format("doc_id % 3 = 0"), "consumed": _TOP.format("doc_id % 3 = 0"),
+}
+
+
+@query("c15_validation_samples", " UNION ALL ".join(f"SELECT '{k}' AS strategy, doc_id FROM {v}" for k, v in SAMPLES.items()))
+def c15_samples(spark, sf):
+    d = scored(spark, sf).select("doc_id", F.col("lang").alias("court"), "score", ladder(F.col("score")).alias("category"))
+    listed, seen = d.where("doc_id % 3 = 0"), d.where("doc_id % 10 = 9")
+    out = [cl.validation_sample(d, k, "doc_id", 40, 5, listed, seen, courts=4).select(F.lit(k).alias("strategy"), "doc_id") for k in SAMPLES]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
 @query("c16_batch_snapshot", f"SELECT doc_id, score AS score_then, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':9'), doc_id)::INT AS place, 'b1' AS batch FROM {SCORED} WHERE quality = 0 AND score > 0.5")
 def c16(spark, sf):
     d = scored(spark, sf).where((F.col("quality") == 0) & (F.col("score") > 0.5))

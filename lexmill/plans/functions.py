@@ -275,7 +275,7 @@ def f52(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").contains("License")).select("doc_id", text.snippet(F.col("text"), "License", 20).alias("s"))
 
 
-@query("f53_highlight")
+@query("f53_highlight", r"SELECT doc_id, list_transform(regexp_extract_all(text, '(?is)(.{0,100}\bLicense\b.{0,100})', 1)[1:3], lambda p: regexp_replace(p, '(?i)\b(License)\b', '<em>\1</em>', 'g')) AS fragments FROM documents WHERE contains(text, 'License')")
 def f53(spark, sf):
     return table(spark, sf, "documents").where(F.col("text").contains("License")).select("doc_id", text.highlights(F.col("text"), "License").alias("fragments"))
 

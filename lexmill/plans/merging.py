@@ -70,11 +70,19 @@ def m08(spark, sf):
     return s.groupBy(entities.party_kind(F.col("doc"), F.col("bar")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("m09_pole_recompute", "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'passive' WHEN l_returnflag = 'A' THEN 'active' ELSE 'other' END AS pole FROM lineitem) SELECT pole, count(*) AS n FROM r WHERE pole <> 'other' GROUP BY 1")
+# Roles by part key mod 8, and the pole each tells.
+ROLES = (("RÉ", "passive"), ("Requerido(a)", "passive"), ("Requerente", "active"), ("Reclamante", "active"), ("Exectda", "passive"), ("perito", "other"), ("Réu/Ré", "passive"), ("Apte", "active"))
+TOLD = "[" + ", ".join(f"'{p}'" for _, p in ROLES) + "]"
+SLOTS = f"(SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, l_orderkey AS c, l_suppkey % 3 AS p, l_partkey % 8 AS r, CASE WHEN l_linenumber % 3 = 0 THEN 'passive' ELSE 'other' END AS pole, CASE WHEN l_linenumber % 5 = 0 THEN l_suppkey END AS rep, {TOLD}[l_partkey % 8 + 1] AS told FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3))"
+
+
+@query("m09_pole_recompute", f"WITH s AS {SLOTS}, m AS (SELECT * FROM s WHERE pole = 'other' AND told <> 'other') SELECT id, told AS pole FROM m WHERE rep IS NOT NULL OR (NOT EXISTS (SELECT 1 FROM s o WHERE o.c = m.c AND o.p = m.p AND o.r = m.r AND o.rep IS NULL AND o.pole = m.told) AND NOT EXISTS (SELECT 1 FROM m o WHERE o.c = m.c AND o.p = m.p AND o.r = m.r AND o.rep IS NULL AND o.id < m.id))")
 def m09(spark, sf):
-    role = F.when(F.col("l_returnflag") == "R", "Réu").when(F.col("l_returnflag") == "A", "exequente").otherwise("terceiro")
-    l = table(spark, sf, "lineitem").withColumn("pole", merge.pole_of(role))
-    return l.where("pole <> 'other'").groupBy("pole").agg(F.count("*").alias("n"))
+    role = F.element_at(F.array(*[F.lit(r) for r, _ in ROLES]), (F.col("l_partkey") % 8 + 1).cast("int"))
+    pole = F.when(F.col("l_linenumber") % 3 == 0, "passive").otherwise("other")
+    one = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    l = one.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("case"), (F.col("l_suppkey") % 3).alias("party"), role.alias("role"), pole.alias("pole"), F.when(F.col("l_linenumber") % 5 == 0, F.col("l_suppkey")).alias("represents"))
+    return merge.recomputed_poles(l, "id", ["case", "party"], "role", "pole", "represents")
 
 
 @query("m11_idempotent_consumption", "SELECT count(*) FILTER (WHERE o_orderkey IS NOT NULL AND id % 2 = 1) AS created, count(*) FILTER (WHERE o_orderkey IS NOT NULL AND id % 2 = 0) AS duplicates, count(*) FILTER (WHERE o_orderkey IS NULL) AS missing FROM (SELECT unnest(range(0, 20000)) AS id) LEFT JOIN orders ON o_orderkey = id")

@@ -498,6 +498,12 @@ def o04(spark, sf):
 PAGE = "SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 50000)::BIGINT END AS v FROM orders) ORDER BY v DESC NULLS LAST, o_orderkey LIMIT 60 OFFSET 60"
 
 
+@query("o05_cursor", """SELECT o_orderkey, replace(replace(to_base64(encode('{"o": "-total,id", "v": [' || coalesce(v::VARCHAR, 'null') || ', "' || o_orderstatus || '", ' || o_orderkey || ']}')), '+', '-'), '/', '_') AS cursor FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 50000)::BIGINT END AS v FROM orders)""")
+def o05(spark, sf):
+    v = F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice") / 50000))
+    return table(spark, sf, "orders").select("o_orderkey", rel.cursor_of([v, F.col("o_orderstatus"), F.col("o_orderkey")], "-total,id").alias("cursor"))
+
+
 @query("o06_keyset_page", PAGE)
 def o06(spark, sf):
     d = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_totalprice") / 50000)).alias("v"))

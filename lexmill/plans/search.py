@@ -90,7 +90,7 @@ def t16(spark, sf):
     return d.orderBy(F.desc("n"), "name").limit(8)
 
 
-@query("t18_autocomplete")
+@query("t18_autocomplete", "WITH e AS (SELECT p_type AS name, count(*) AS n, lower(p_type) AS t FROM part GROUP BY 1) SELECT name, n, round((0.9 * greatest(a, b, 1.0) + 0.1 * (a + b + 1)) * log10(2 + 4 * n), 6)::DOUBLE AS score FROM (SELECT *, CASE WHEN starts_with(t, 's') THEN 3.0 ELSE 0 END AS a, CASE WHEN contains(' ' || t || ' ', ' s ') THEN 2.5 ELSE 0 END AS b FROM e) WHERE regexp_matches(t, '(^|[^a-z0-9])s') AND n > 1 ORDER BY score DESC, name LIMIT 8")
 def t18(spark, sf):
     e = table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("n"))
     return search.autocomplete(e, "name", "n", "s", 8, F.col("n") > 1)
@@ -102,7 +102,7 @@ def st12b(spark, sf):
     return search.standing_matches(docs(spark, sf), "doc_id", "toks", b, "item_id", "term")
 
 
-@query("x02_lawyer_names")
+@query("x02_lawyer_names", "SELECT s_suppkey, ['JOÃO DA SILVA SOUZA', 'MARIA LIMA'] AS names FROM supplier")
 def x02(spark, sf):
     from lexmill.functions.python import lawyer_names
 

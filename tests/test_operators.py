@@ -283,3 +283,47 @@ def test_spellings_without_a_root_absorb_single_rows(spark):
     rows += [(f"1{i:07d}", "root", "FUNDO MUNICIPAL SAUDE", "Fundo Municipal de Saúde", 1) for i in range(20)]
     g = entities.groups_of(spark.createDataFrame(rows, "key string, key_kind string, name_key string, name string, n long"))
     assert {tuple(r) for r in entities.spelling_merges(g).collect()} == {(k, "root", "UNIAO FEDERAL", "name") for k in ("00000001", "00000002")}
+
+
+def test_poles_and_their_slots(spark):
+    tell = lambda *roles: [one(spark, merge.pole_of(F.lit(r))) for r in roles]
+    assert tell("RÉ", "Réu", "réu/ré", "reunião", "Requerido(a)", "Exectdo", "Requerente", "Reclamante", "Recorrente", "Apte", "Perito", "") == ["passive", "passive", "passive", "other", "passive", "passive", "active", "active", "active", "active", "other", "other"]
+    rows = [(1, 1, 7, "Réu", "other", None), (2, 1, 7, "Réu", "passive", None), (3, 1, 7, "Réu", "other", 9), (4, 2, 7, "Autor", "other", None), (5, 2, 7, "Autor", "other", None), (6, 3, 7, "Autor", "passive", None), (7, 3, 8, "Perito", "other", None), (8, 4, None, "Réu", "other", None)]
+    d = spark.createDataFrame(rows, "id int, case int, party int, role string, pole string, represents int")
+    assert {tuple(r) for r in merge.recomputed_poles(d, "id", ["case", "party"], "role", "pole", "represents").collect()} == {(3, "passive"), (4, "active"), (8, "passive")}
+
+
+def test_case_features(spark):
+    import datetime as dt
+    import math
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    cases = spark.createDataFrame([(1, "0000001-02.2020.8.02.0001", "156", "Cumprimento de Sentença"), (2, None, None, "Juizado Especial"), (3, "0000001-02.2020.8.02.0001", "7", None)], "case int, number string, class_code string, class_name string")
+    moves = [(1, "Precatório", "PRECATÓRIO expedido", at(2)), (1, "", "Alvará de levantamento", at(3)), (1, "Enviada ao Tribunal", None, at(1)), (3, "x", "extinto\no feito sem resolução do mérito; rpvs", at(5)), (3, "x", "Nego provimento", at(6))]
+    m = spark.createDataFrame(moves, "case int, kind string, text string, at timestamp_ntz")
+    p = spark.createDataFrame([(1,), (1,), (2,)], "case int")
+    f = {r.case: r for r in classify.case_features(cases, m, p, "case", F.lit("2024-01-13").cast("timestamp_ntz")).collect()}
+    one_, two, three = f[1], f[2], f[3]
+    assert (one_.f1, one_.f2, one_.f7, one_.f11, one_.f12, one_.f20, one_.f24, one_.f30, one_.f1xf11, one_.f1xf20) == (1, 1, 1, 1, 0, 1, 1, 0, 1, 1)
+    assert math.isclose(one_.f15, math.log(4) / math.log(500)) and math.isclose(one_.f16, math.log(3) / math.log(50)) and math.isclose(one_.f23, math.log(3) / math.log(50))
+    assert math.isclose(one_.f18, (2020 - 2019.66) / 6.49) and math.isclose(one_.f21, (10 - 532.24) / 574.57)
+    assert (two.f10, two.f15, two.f18, two.f23, two.f24, two.f30) == (1, 0, 0, 0, 0, 0) and math.isclose(two.f21, (9999 - 532.24) / 574.57)
+    assert (three.f12, three.f30, three.f1) == (0, 1, 0) and all(v is not None for r in f.values() for v in r)
+
+
+def test_samples_for_validation(spark):
+    d = spark.range(200).select(F.col("id").alias("case"), F.concat(F.lit("T"), (F.col("id") % 4).cast("string")).alias("court"), (F.col("id") / 200).alias("score")).withColumn("category", F.when(F.col("score") >= 0.7, "issued").otherwise("none"))
+    seen, listed = d.where("case % 2 = 0"), d.where("case % 3 = 0")
+    ids_ = lambda k, **kw: [r.case for r in classify.validation_sample(d, k, "case", kw.pop("limit", 8), 5, listed, seen, **kw).collect()]
+    b = ids_("borderline", courts=4)
+    assert len(b) == 4 and all(60 <= i < 100 and i % 2 for i in b) and b == ids_("borderline", courts=4)  # two courts have none left
+    assert ids_("none_top", limit=3) == [139, 137, 135] and ids_("recovered", limit=3) == [195, 189, 183]
+    assert ids_("missed", limit=3) == [135, 129, 123] and all(i >= 170 for i in ids_("issued_high"))
+    with pytest.raises(ValueError, match="strategy"):
+        ids_("other")
+
+
+def test_cursors_of_rows_are_read_back(spark):
+    d = spark.createDataFrame([(1, 2.5, "a?>"), (2, None, 'é"')], "id long, v double, s string")
+    got = [relational.decode_cursor(r[0], "-v,id") for r in d.select(relational.cursor_of([F.col("v"), F.col("s"), F.col("id")], "-v,id")).collect()]
+    assert got == [[2.5, "a?>", 1], [None, 'é"', 2]]
