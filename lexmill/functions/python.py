@@ -8,28 +8,47 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
-_BAR = re.compile(r"[,(\s-]*OAB\b", re.IGNORECASE)
-_LINKS = {"da", "de", "do", "das", "dos", "e"}
-_STOPS = {"adv", "advogado", "advogada", "dr", "dra", "drs"}
+# Words that link names, labels that end one, the signs a name may hold, and how far it may reach back.
+LINKS = {"de", "da", "do", "dos", "das", "e"}
+LABELS = {
+    "ADVOGADO", "ADVOGADA", "ADV", "ADVOGADO(A)", "ADVOGADOS", "ADVOGADA(O)", "DR", "DRA", "PROCURADOR", "PROCURADORA", "INTIMAÇÃO", "INTIMACAO", "REQUERENTE", "REQUERIDO",
+    "EXEQUENTE", "EXECUTADO", "AUTOR", "RÉU", "REU",
+}
+REACH, MOST_WORDS, SHORTEST = 71, 8, 5
+_BAR = re.compile(r"\s*[(\[]?\s*OAB")
+_RUN = re.compile(r"[A-Za-zÀ-ÿ'`.\s]*\Z")
+
+
+def _name_at_end(run: str) -> str:
+    """The name at the end of a run of letters: capitalised words read backwards, links between them allowed."""
+    words: list[str] = []
+    for token in reversed(run.split()):
+        word = token.strip(".'`")
+        if not word:
+            continue
+        link = word.lower() in LINKS
+        if word.upper() in LABELS or not (link or word[0].isupper()):
+            break
+        words.append(word)
+        if not link and len(words) >= MOST_WORDS:
+            break
+    while words and words[-1].lower() in LINKS:
+        words.pop()
+    name = " ".join(reversed(words))
+    return name if len(words) >= 2 and len(name) >= SHORTEST else ""
 
 
 def names_before_bar(text: str | None, most: int = 40) -> list[str]:
-    """Names that stand right before a bar registration: capitalised words read backwards, links between them allowed."""
-    out: list[str] = []
-    for m in _BAR.finditer(text or ""):
-        words: list[str] = []
-        for w in reversed(re.findall(r"[^\s]+", text[max(0, m.start() - 120) : m.start()])):
-            bare = w.strip(".,;:()")
-            if w.endswith((";", ":")) and words or bare.lower() in _STOPS or not bare:
-                break
-            if not (bare[0].isupper() or bare.lower() in _LINKS) or not bare.replace("'", "").isalpha():
-                break
-            words.append(bare)
-        while words and words[-1].lower() in _LINKS:
-            words.pop()
-        if len(words) >= 2 and (name := " ".join(reversed(words)).upper()) not in out:
+    """Names that stand right before a bar registration or its bracket, as they are written, without repeats."""
+    text, done, out = text or "", 0, []
+    for m in _BAR.finditer(text):
+        run = _RUN.search(text[max(done, m.start() - REACH) : m.start()]).group()
+        done = m.end()
+        if (name := _name_at_end(run)) and name not in out:
             out.append(name)
-    return out[:most]
+            if len(out) == most:
+                break
+    return out
 
 
 class _Text(HTMLParser):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def stage(s: DataFrame, case_class: Column | None = None) -> DataFrame:
         (before, "pre", "pre", F.when(has("final"), F.least(F.lit(0.80), pre + 0.05)).otherwise(pre)),
         (has("final") | has("granted"), "right", "right", F.when(has("final"), 0.65).otherwise(0.55)),
     ]
-    pick = lambda i, rest: __import__("functools").reduce(lambda acc, r: F.when(r[0], F.lit(r[i]) if isinstance(r[i], str) else r[i]).otherwise(acc), reversed(ladder), rest)
+    pick = lambda i, rest: reduce(lambda acc, r: F.when(r[0], F.lit(r[i]) if isinstance(r[i], str) else r[i]).otherwise(acc), reversed(ladder), rest)
     out = s.withColumn("stage", pick(1, F.lit("undefined"))).withColumn("seal", pick(2, F.lit("undefined"))).withColumn("confidence", F.round(pick(3, F.lit(0.30)), 2))
     open_ = F.col("stage") != "closed"
     badges = [F.when(has("denied") & open_, "denial overtaken"), F.when(has("no_merits"), "no merits"), F.when(has("closed") & ~has("satisfied") & ~has("denied") & ~has("no_merits") & open_, "closing unclear"), F.when(has("side_issue") & ~has("satisfied"), "side issue"), F.when(has("small_claim"), "small claim"), F.when(has("payment"), "payment"), F.when(has("part_payment"), "part payment")]
@@ -219,10 +221,73 @@ def gates(metrics: DataFrame, specs: list[tuple[str, float, float]]) -> DataFram
     return F.broadcast(s).join(metrics, "metric", "left").select("metric", "value", F.when(v.isNull(), "NO_DATA").when(v >= F.col("pass_from"), "PASS").when(v >= F.col("warn_from"), "WARN").otherwise("BLOCK").alias("gate"))
 
 
-def mining_score(band: Column, signals: Column, stale: Column, model: Column, density: Column, similarity: Column) -> Column:
-    """Suspicion of a missed case: six added strategies, at most 1."""
-    parts = F.when(band, 0.20).otherwise(0.0) + 0.30 * F.least(signals / 3, F.lit(1.0)) + F.when(stale, 0.15).otherwise(0.0) + 0.20 * model + 0.10 * density + 0.05 * similarity
-    return F.least(F.lit(1.0), parts)
+# Signals that the score has no feature for, on folded text, and what each strategy of mining asks and adds.
+NOVEL = (
+    r"\brpv\s+expedid", r"pagamento\s+administrativo", r"oficio\s+requisitorio\s+expedido", r"precatorio\s+(?:expedido|encaminhado|inscrito)",
+    r"inscricao\s+(?:na\s+)?ordem\s+cronologica", r"transitad[oa]\s+em\s+julgado", r"liquid[oa]\s+(?:e\s+)?cert[oa]",
+)
+BAND_FROM, BAND_TO, BAND_ADDS = 0.10, 0.20, 0.20
+NOVEL_ADDS, NOVEL_FULL = 0.30, 3
+FEW_MOVEMENTS, FEW_ADDS = 5, 0.15
+LIKE_FROM, LIKE_ADDS = 0.60, 0.20
+DENSE_FROM, DENSE_ADDS = 0.70, 0.10
+NEAR_FROM, NEAR_ADDS = 0.70, 0.05
+VECTOR = ("f1", "f10", "f2", "f7", "f11", "f12", "f13", "f14", "f15", "f16", "f17", "f18", "f19", "f20", "f21", "f23", "f1xf11", "f1xf15", "f1xf20")
+
+
+def novel_signals(movements: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, movements, novel): movements of a case and how many of the novel signals any of them shows."""
+    t = fold(F.coalesce(F.col(text), F.lit("")))
+    flags = movements.select(key, *[t.rlike(p).cast("int").alias(f"s{i}") for i, p in enumerate(NOVEL)])
+    novel = reduce(lambda x, y: x + y, [F.max(f"s{i}") for i in range(len(NOVEL))])
+    return flags.groupBy(key).agg(F.count("*").alias("movements"), novel.alias("novel"))
+
+
+def nearness(features: DataFrame, leads: DataFrame, key: str) -> DataFrame:
+    """(key, near): cosine of each feature vector with the mean vector of the leads; null if that is nothing."""
+    mean = leads.agg(*[F.avg(c).alias(f"m_{c}") for c in VECTOR])
+    add = lambda parts: reduce(lambda x, y: x + y, parts)
+    dot = add([F.col(c) * F.col(f"m_{c}") for c in VECTOR])
+    size = lambda name: F.sqrt(add([F.pow(F.col(name(c)), F.lit(2)) for c in VECTOR]))
+    return features.crossJoin(F.broadcast(mean)).select(key, F.try_divide(dot, size(lambda c: c) * size(lambda c: f"m_{c}")).alias("near"))  # one row
+
+
+def cluster_density(clustered_leads: DataFrame, k: int) -> DataFrame:
+    """(cluster, dense): the cluster's share of the leads, in units of an even share, at most 1."""
+    n = clustered_leads.groupBy("cluster").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # k rows
+    return n.select("cluster", F.least(F.lit(1.0), F.col("n") / total * k).alias("dense"))
+
+
+def mined(cases: DataFrame, key: str, home: str) -> DataFrame:
+    """Cases of category none that some strategy suspects: key, suspicion (at most 1), reasons (E1 to E6).
+
+    cases: key, court, score, movements, novel, f1, and like, dense and near,
+    which are null where no model was learnt. ``home`` is the court that the
+    leads are from; only other courts' cases are held against their mean.
+    Cases without movements are left out.
+    """
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    rules = (
+        ("E1", holds(F.col("score").between(BAND_FROM, BAND_TO)), F.lit(BAND_ADDS)),
+        ("E2", holds(F.col("novel") > 0), NOVEL_ADDS * F.least(F.col("novel") / NOVEL_FULL, F.lit(1.0))),
+        ("E3", holds((F.col("f1") == 1) & (F.col("movements") <= FEW_MOVEMENTS)), F.lit(FEW_ADDS)),
+        ("E4", holds(F.col("like") > LIKE_FROM), F.lit(LIKE_ADDS)),
+        ("E5", holds(F.col("dense") > DENSE_FROM), F.lit(DENSE_ADDS)),
+        ("E6", holds((F.col("near") > NEAR_FROM) & (F.col("court") != home)), F.lit(NEAR_ADDS)),
+    )
+    total = reduce(lambda x, y: x + y, [F.when(c, add).otherwise(0.0) for _, c, add in rules])
+    why = F.concat_ws("|", *[F.when(c, F.lit(k)) for k, c, _ in rules])
+    d = cases.where("movements > 0").select(key, F.least(F.lit(1.0), total).alias("suspicion"), why.alias("reasons"))
+    return d.where("reasons <> ''")
+
+
+def guarded_class(probabilities: dict[str, Column], guarded: str, least: float) -> Column:
+    """(class, confidence) of the likeliest class; ``guarded`` only from ``least`` on, below it the best of the others."""
+    parts = [F.struct(p.alias("p"), F.lit(-i).alias("o"), F.lit(k).alias("name")) for i, (k, p) in enumerate(probabilities.items())]
+    best, rest = F.greatest(*parts), F.greatest(*[x for x, k in zip(parts, probabilities) if k != guarded])
+    pick = F.when((best["name"] == guarded) & (best["p"] < least), rest).otherwise(best)
+    return F.struct(pick["name"].alias("class"), F.round(pick["p"], 4).alias("confidence"))
 
 
 def stage_label(issued: Column, pre: Column, right: Column, satisfied: Column, extinct: Column, paid: Column, dismissed: Column) -> Column:

@@ -138,11 +138,50 @@ def c06(spark, sf):
     return cl.stage(signals(spark, sf)).select("case", "stage", "seal", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("c08_mining_score", f"SELECT doc_id, round(least(1.0, CASE WHEN score BETWEEN 0.3 AND 0.5 THEN 0.2 ELSE 0 END + 0.3 * least((doc_id % 5) / 3, 1.0) + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + 0.2 * score + 0.1 * quality + 0.05 * toxic), 6) AS suspicion FROM {SCORED}")
+_DOT = lambda x, y: " + ".join(f"{x}.{c} * {y}.{c}" for c in cl.VECTOR)
+_MEAN = ", ".join(f"avg({c}) AS {c}" for c in cl.VECTOR)
+MINED = f"WITH f AS MATERIALIZED ({FEATURES}), m AS (SELECT {_MEAN} FROM f WHERE o_orderkey % 10 = 0), n AS (SELECT l_orderkey AS o_orderkey, count(*) AS movements, max((l_partkey % 10 = 0)::INT) + max((l_partkey % 10 = 1)::INT) AS novel FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1), c AS (SELECT f.o_orderkey, (f.o_orderkey * 7919 % 1000) / 1000.0::DOUBLE BETWEEN 0.1 AND 0.2 AS e1, novel, f.f1 = 1 AND movements <= 5 AS e3, f.o_orderkey % 5 <> 0 AND ({_DOT('f', 'm')}) / sqrt({_DOT('f', 'f')}) / sqrt({_DOT('m', 'm')}) > 0.7 AS e6 FROM f JOIN n ON f.o_orderkey = n.o_orderkey, m) SELECT o_orderkey, round(e1::INT * 0.2 + 0.3 * novel / 3.0 + e3::INT * 0.15 + e6::INT * 0.05, 6)::DOUBLE AS suspicion, concat_ws('|', CASE WHEN e1 THEN 'E1' END, CASE WHEN novel > 0 THEN 'E2' END, CASE WHEN e3 THEN 'E3' END, CASE WHEN e6 THEN 'E6' END) AS reasons FROM c WHERE e1 OR novel > 0 OR e3 OR e6"
+
+
+def suspects(spark, sf):
+    """(features, cases): every order's features, and with them score, court, movements, novel signals and nearness to the leads, orders by tens."""
+    f = stage(c01_vector(spark, sf))
+    nth = F.element_at(F.array(*map(F.lit, FEATURE_TEXTS)), (F.col("l_partkey") % 10 + 1).cast("int"))
+    moves = table(spark, sf, "lineitem").where("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("o_orderkey"), nth.alias("text"))
+    k = F.col("o_orderkey")
+    court = F.element_at(F.array(*map(F.lit, COURTS)), (k % 5 + 1).cast("int"))
+    c = f.select("o_orderkey", "f1", court.alias("court"), (F.pmod(k * 7919, F.lit(1000)) / 1000.0).alias("score"))
+    c = c.join(cl.novel_signals(moves, "o_orderkey", "text"), "o_orderkey").join(cl.nearness(f, f.where("o_orderkey % 10 = 0"), "o_orderkey"), "o_orderkey")
+    return f, c
+
+
+@query("c08_mining_score", MINED)
 def c08(spark, sf):
-    d = scored(spark, sf)
-    m = cl.mining_score(F.col("score").between(0.3, 0.5), F.col("doc_id") % 5, F.col("doc_id") % 2 == 0, F.col("score"), F.col("quality"), F.col("toxic"))
-    return d.select("doc_id", F.round(m, 6).alias("suspicion"))
+    _, c = suspects(spark, sf)
+    none = F.lit(None).cast("double")
+    m = cl.mined(c.withColumn("like", none).withColumn("dense", none), "o_orderkey", "TJAL")
+    return m.select("o_orderkey", F.round("suspicion", 6).alias("suspicion"), "reasons")
+
+
+@query("c08_mining_learned")
+def c08_learned(spark, sf):
+    from lexmill.operators.learn import clusters, logistic
+
+    f, c = suspects(spark, sf)
+    learn = f.where("o_orderkey % 10 < 2").withColumn("y", (F.col("o_orderkey") % 10 == 0).cast("double"))  # leads against others
+    like = logistic(f.withColumn("y", F.lit(0.0)), list(cl.VECTOR), "y", learn=learn).select("o_orderkey", F.col("probability").alias("like"))
+    v = f.select("o_orderkey", F.array(*[F.col(x).cast("double") for x in cl.VECTOR]).alias("v"))
+    in_cluster = stage(clusters(v, "v", 20, learn=v.where("o_orderkey % 10 = 0")))
+    dense = cl.cluster_density(in_cluster.where("o_orderkey % 10 = 0"), 20)
+    d = c.join(like, "o_orderkey").join(in_cluster, "o_orderkey").join(F.broadcast(dense), "cluster", "left")  # one row a cluster
+    return cl.mined(d, "o_orderkey", "TJAL").select("o_orderkey", F.round("suspicion", 6).alias("suspicion"), "reasons")
+
+
+@query("c07_guarded_stage", "WITH p AS (SELECT o_orderkey, (o_orderkey % 7) / 10.0::DOUBLE AS a, (o_orderkey % 5) / 10.0::DOUBLE AS b, (o_orderkey % 9) / 10.0::DOUBLE AS c FROM orders) SELECT o_orderkey, CASE WHEN c > greatest(a, b) AND c >= 0.6 THEN 'closed' WHEN a >= b THEN 'issued' ELSE 'pre' END AS stage, CASE WHEN c > greatest(a, b) AND c >= 0.6 THEN c ELSE greatest(a, b) END AS confidence FROM p")
+def c07_guarded(spark, sf):
+    k = F.col("o_orderkey")
+    p = {"issued": (k % 7) / 10.0, "pre": (k % 5) / 10.0, "closed": (k % 9) / 10.0}
+    return table(spark, sf, "orders").select("o_orderkey", cl.guarded_class(p, "closed", 0.6).alias("g")).select("o_orderkey", F.col("g.class").alias("stage"), "g.confidence")
 
 
 @query("c09_label_consolidation", "WITH o AS (SELECT doc_id, 'human' AS origin, quality AS label, 3 AS w FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'outcome', toxic, 2 FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'export', 1, 1 FROM labels) SELECT doc_id, first(label ORDER BY w DESC)::INT AS label, first(origin ORDER BY w DESC) AS origin, max(w)::INT AS weight, count(DISTINCT label) > 1 AS conflict FROM o GROUP BY 1")
@@ -155,10 +194,11 @@ def c09(spark, sf):
 
 @query("c10_logistic_regression")
 def c10(spark, sf):
-    from lexmill.operators.learn import logistic
+    from lexmill.operators.learn import logistic, split
 
-    d = scored(spark, sf).select("doc_id", F.col("score"), F.log1p("n_chars").alias("size"), F.col("quality").cast("double").alias("y"))
-    return logistic(d, ["score", "size"], "y").select("doc_id", F.round("probability", 6).alias("probability"))
+    d = scored(spark, sf).select("doc_id", F.col("score"), F.log1p("n_chars").alias("size"), F.col("quality").cast("double").alias("y"), (1.0 + F.col("toxic")).alias("weight"))
+    learn, _ = split(d, "doc_id", "y")
+    return logistic(d, ["score", "size"], "y", weight="weight", learn=learn).select("doc_id", F.round("probability", 6).alias("probability"))
 
 
 @query("c07_boosted_trees")
@@ -307,11 +347,12 @@ def c22(spark, sf):
     return table(spark, sf, "customer").join(last, "c_custkey", "left").select("c_custkey", F.when(F.col("last").isNull(), "no data").when(age <= 7, "up to date").otherwise("stale").alias("state"))
 
 
-@query("c23_stage_label", f"SELECT \"case\", CASE WHEN satisfied_n > 0 OR (denied_n > 0 AND issued_n = 0) THEN 'closed' WHEN issued_n > 0 THEN 'issued' WHEN {BEFORE} THEN 'pre' ELSE 'right' END AS label FROM {SIGNALS} WHERE issued_n > 0 OR {BEFORE} OR final_n > 0 OR granted_n > 0")
+@query("c23_stage_label", f"SELECT \"case\", CASE WHEN satisfied_n > 0 OR (o_orderstatus = 'F' AND payment_n > 0 AND issued_n > 0) OR (denied_n > 0 AND issued_n = 0) THEN 'closed' WHEN issued_n > 0 THEN 'issued' WHEN {BEFORE} THEN 'pre' ELSE 'right' END AS label FROM {SIGNALS} LEFT JOIN orders ON o_orderkey = \"case\" WHERE issued_n > 0 OR {BEFORE} OR final_n > 0 OR granted_n > 0")
 def c23(spark, sf):
     has = lambda k: F.col(f"{k}_n") > 0
-    lab = cl.stage_label(has("issued"), has("enforcement") | has("accounts"), has("final") | has("granted"), has("satisfied"), F.lit(False), has("payment"), has("denied"))
-    return signals(spark, sf).select("case", lab.alias("label")).where("label IS NOT NULL")
+    extinct = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case"), (F.col("o_orderstatus") == "F").alias("extinct"))
+    lab = cl.stage_label(has("issued"), has("enforcement") | has("accounts"), has("final") | has("granted"), has("satisfied"), F.coalesce("extinct", F.lit(False)), has("payment"), has("denied"))
+    return signals(spark, sf).join(extinct, "case", "left").select("case", lab.alias("label")).where("label IS NOT NULL")
 
 
 @query("c24_class_cap", "WITH f AS (SELECT doc_id, quality, ('0x' || substr(sha1('s' || doc_id), 1, 8))::BIGINT / 4294967295.0 AS f, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, quality FROM f WHERE f < 50.0 / n")

@@ -102,11 +102,11 @@ def st12b(spark, sf):
     return search.standing_matches(docs(spark, sf), "doc_id", "toks", b, "item_id", "term")
 
 
-@query("x02_lawyer_names", "SELECT s_suppkey, ['JOÃO DA SILVA SOUZA', 'MARIA LIMA'] AS names FROM supplier")
+@query("x02_lawyer_names", "SELECT s_suppkey, ['João da Silva Souza', 'MARIA LIMA'] AS names FROM supplier")
 def x02(spark, sf):
     from lexmill.functions.python import lawyer_names
 
-    t = F.concat(F.lit("Adv. João da Silva Souza OAB/SP "), (100000 + F.col("s_suppkey")).cast("string"), F.lit("; MARIA LIMA, OAB/RJ 123456"))
+    t = F.concat(F.lit("Adv. João da Silva Souza OAB/SP "), (100000 + F.col("s_suppkey")).cast("string"), F.lit("; MARIA LIMA (OAB/RJ 123456)"))
     return table(spark, sf, "supplier").select("s_suppkey", lawyer_names()(t).alias("names"))
 
 

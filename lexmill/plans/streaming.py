@@ -67,6 +67,30 @@ def st05(spark, sf):
     return st.newest(_events(spark, sf).select("user_id", "event_id"), ["user_id"], "event_id")
 
 
+@query("st06_redelivery", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def st06(spark, sf):
+    """The consumer stops after it has written a batch and before its offsets are kept: the batch comes again."""
+    from pyspark.errors import StreamingQueryException
+
+    out, offsets, sunk = scratch(spark), scratch(spark), []
+    apply = st.upsert_sink(spark, out, ["user_id"], "event_id")
+
+    def sink(batch, i):
+        apply(batch, i)
+        sunk.append(i)
+        if len(sunk) == 1:
+            raise RuntimeError("stopped before the offsets were kept")
+
+    stream = _stream(spark, _events(spark, sf)).select("user_id", "event_id", "event_type")
+    try:
+        st.run_once(stream, sink, offsets)
+    except StreamingQueryException:
+        st.run_once(stream, sink, offsets)
+    if sunk[:2] != [0, 0]:
+        raise RuntimeError("the batch was not delivered again")
+    return read_upserted(spark, out)
+
+
 @query("st08_overlap_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def st08(spark, sf):
     out = scratch(spark)

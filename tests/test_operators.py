@@ -232,10 +232,48 @@ def test_bm25_prefers_rare_words(spark):
 def test_lawyer_names():
     from lexmill.functions.python import names_before_bar, page_text
 
-    assert names_before_bar("Adv. João da Silva OAB/SP 1; pela ré, Maria Lima (OAB 2)") == ["JOÃO DA SILVA", "MARIA LIMA"]
+    assert names_before_bar("Adv. João da Silva OAB/SP 1; pela ré, Maria Lima (OAB 2)") == ["João da Silva", "Maria Lima"]
+    assert names_before_bar("Intimação do advogado SICRANO PEREIRA (OAB/MG 45678) e ADVOGADO(A): FULANA DE SOUZA [OAB 1]; SICRANO PEREIRA OAB") == ["SICRANO PEREIRA", "FULANA DE SOUZA"]
+    assert names_before_bar("Maria, OAB 1; Dr. José OAB 2; de Lima Neto OAB 3") == ["Lima Neto"]  # one word is no name
+    assert names_before_bar("A B C D E F G H I J OAB") == ["C D E F G H I J"] and names_before_bar(None) == []
     assert page_text("<p>a</p><script>var t='</p>'</script><b>c &amp; d") == "a c & d"
 
 
+def test_mined_cases_and_their_reasons(spark):
+    rows = [(1, "X", 0.1, 3, 3, 1, 0.7, 0.8, 0.8), (2, "H", None, 9, 0, 0, None, None, 0.9), (3, "X", 0.5, 9, 0, 0, 0.6, 0.7, 0.7), (4, "X", 0.15, 0, 9, 1, 1.0, 1.0, 1.0), (5, "X", 0.2, 9, 1, 1, None, None, None), (6, None, 0.3, 5, 0, 1, None, None, 1.0)]
+    d = spark.createDataFrame(rows, "case int, court string, score double, movements int, novel int, f1 int, like double, dense double, near double")
+    got = {r.case: (round(r.suspicion, 6), r.reasons) for r in classify.mined(d, "case", "H").collect()}
+    assert got == {1: (1.0, "E1|E2|E3|E4|E5|E6"), 5: (0.3, "E1|E2"), 6: (0.15, "E3")}
+    m = spark.createDataFrame([(1, "RPV expedida. Trânsito"), (1, "Crédito líquido e certo, transitada em julgado"), (1, "RPV expedida"), (2, None)], "case int, text string")
+    assert {tuple(r) for r in classify.novel_signals(m, "case", "text").collect()} == {(1, 3, 3), (2, 1, 0)}
+
+
+def test_a_guarded_class_needs_its_threshold(spark):
+    pick = lambda a, b, c: tuple(one(spark, classify.guarded_class({"a": F.lit(a), "b": F.lit(b), "closed": F.lit(c)}, "closed", 0.6)))
+    assert pick(0.1, 0.3, 0.6) == ("closed", 0.6) and pick(0.1, 0.35, 0.55) == ("b", 0.35) and pick(0.5, 0.2, 0.3) == ("a", 0.5) and pick(0.3, 0.3, 0.4) == ("a", 0.3)
+
+
+def test_logistic_regression_against_newton(spark):
+    import numpy as np
+
+    from lexmill.operators.learn import logistic, split
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2)) * [1.0, 5.0] + [2.0, -1.0]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 2 + 0.3 * x[:, 1])))).astype(float)
+    d = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id int, a double, b double, y double")
+    z = np.c_[(x - x.mean(0)) / x.std(0, ddof=1), np.ones(300)]
+    w, penalty = np.zeros(3), np.diag([0.01, 0.01, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z / 300 + penalty, z.T @ (p - y) / 300 + penalty @ w)
+    got = {r.id: r.probability for r in logistic(d, ["a", "b"], "y").collect()}
+    assert max(abs(got[i] - p) for i, p in enumerate(1 / (1 + np.exp(-z @ w)))) < 1e-3
+    learn, test = split(d, "id", "y")
+    assert learn.count() + test.count() == 300 and learn.join(test, "id").count() == 0 and 0.8 <= learn.count() / 300 <= 0.95
+    assert {r.id for r in learn.collect()} == {r.id for r in split(d.repartition(7), "id", "y")[0].collect()}
+
+
 def test_facets_go_to_the_one_dominant_owner(spark, tmp_path):
     from itertools import count
 
