@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.relational import running
+from lexmill.operators.relational import placed, running, totals_beside
 
 
 def facet(df: DataFrame, key: str, n: int, out: str = "total") -> DataFrame:
@@ -51,18 +51,17 @@ def histogram(df: DataFrame, value: str, keys: list[str], bins: int = 20) -> Dat
     return df.where(F.col(value).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def rank_slices(df: DataFrame, order: list[Column], keys: list[str], slices: int = 10, least: int = 10) -> DataFrame:
+def rank_slices(df: DataFrame, order: list[Column], keys: list[str], checkpoint, slices: int = 10, least: int = 10) -> DataFrame:
     """Adds ``slice`` from 1: equal rank slices of groups of at least ``least`` rows; smaller groups go."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("group_n", n).withColumn("slice", F.ceil(F.lit(slices) * r / n).cast("int")).where(F.col("group_n") >= least)
+    d = placed(df, keys, order, checkpoint).where(F.col("group_n") >= least)
+    return d.withColumn("slice", F.ceil(F.lit(slices) * F.col("place") / F.col("group_n")).cast("int")).drop("place")
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_medians(df: DataFrame, keys: list[str], value: str, tie: str, checkpoint) -> DataFrame:
+    """Per group n, least, most and median: the value at n div 2, from 0, of those in order. Null values do not count."""
+    d = placed(df.where(F.col(value).isNotNull()).select(*keys, value, tie), keys, [F.col(value), F.col(tie)], checkpoint)
+    middle = F.col("place") == F.floor(F.col("group_n") / 2) + 1
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.max(F.when(middle, F.col(value))).alias("median"))
 
 
 def smoothed_density(df: DataFrame, hits: str, volume: str, prior: float = 1000.0) -> DataFrame:
@@ -72,13 +71,14 @@ def smoothed_density(df: DataFrame, hits: str, volume: str, prior: float = 1000.
     return df.withColumn("density", rate(F.col(hits), F.col(volume), 6)).withColumn("score", F.round((F.col(hits) + prior * mean) / (F.col(volume) + prior), 6))
 
 
-def kolmogorov_smirnov(df: DataFrame, value: str, side: str, keys: list[str]) -> DataFrame:
+def kolmogorov_smirnov(df: DataFrame, value: str, side: str, keys: list[str], checkpoint) -> DataFrame:
     """The two-sample statistic of the values with ``side`` true and false, per key; null if a sample is empty."""
     per = df.groupBy(*keys, value).agg(F.sum(F.col(side).cast("long")).alias("a"), F.sum((~F.col(side)).cast("long")).alias("b"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    upto = w.orderBy(value)
-    gap = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(w)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(w)))
-    return per.withColumn("gap", gap).groupBy(*keys).agg(F.round(F.max("gap"), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    upto = checkpoint(running(per, [*map(F.col, keys), F.col(value)], {"a_before": F.col("a"), "b_before": F.col("b")}, checkpoint))
+    # sums over all groups before are the least of a group's own
+    d = totals_beside(upto, keys, a_start=F.min("a_before"), b_start=F.min("b_before"), a_all=F.sum("a"), b_all=F.sum("b"))
+    share = lambda x: F.try_divide(F.col(f"{x}_before") - F.col(f"{x}_start") + F.col(x), F.col(f"{x}_all"))
+    return d.withColumn("gap", F.abs(share("a") - share("b"))).groupBy(*keys).agg(F.round(F.max("gap"), 6).alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, tie: str, checkpoint) -> DataFrame:

@@ -302,16 +302,13 @@ def latest_shadow(cases: DataFrame, logs: DataFrame, key: str, at: str) -> DataF
     return cases.join(newest.select(key, "s.*"), key)
 
 
-def court_agreement(shadow: DataFrame) -> DataFrame:
-    """Per court, and over all as court null: pairs, disagreements, agreement and the distance of both scores' distributions.
-
-    Scores are compared at six digits, so no court has over a million values to rank.
-    """
+def court_agreement(shadow: DataFrame, checkpoint) -> DataFrame:
+    """Per court, and over all as court null: pairs, disagreements, agreement and the distance of both scores' distributions."""
     both = shadow.withColumn("court", F.explode(F.array("court", F.lit(None).cast("string"))))
     same = F.coalesce("category", F.lit("")) == F.coalesce("shadow_category", F.lit(""))
     per = both.groupBy("court").agg(F.count("*").alias("total"), F.count_if(~same).alias("disagreements"))
-    sides = F.explode(F.array(F.struct(F.round("score", 6).alias("value"), F.lit(True).alias("current")), F.struct(F.round("shadow_score", 6).alias("value"), F.lit(False).alias("current")))).alias("v")
-    ks = kolmogorov_smirnov(both.select("court", sides).select("court", "v.*").where("value IS NOT NULL"), "value", "current", ["court"])
+    sides = F.explode(F.array(F.struct(F.col("score").alias("value"), F.lit(True).alias("current")), F.struct(F.col("shadow_score").alias("value"), F.lit(False).alias("current")))).alias("v")
+    ks = kolmogorov_smirnov(both.select("court", sides).select("court", "v.*").where("value IS NOT NULL"), "value", "current", ["court"], checkpoint)
     on = per["court"].eqNullSafe(ks["court"])
     return per.join(ks, on, "left").select(per["court"], "total", "disagreements", F.round(1 - F.col("disagreements") / F.col("total"), 6).alias("agreement"), "ks")
 

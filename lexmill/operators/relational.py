@@ -54,6 +54,22 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], checkpo
     return d.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
+def totals_beside(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
+    """Each row with aggregates of its group, by a join; null keys are a group."""
+    g = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[v.alias(k) for k, v in aggs.items()])
+    if not keys:
+        return df.crossJoin(F.broadcast(g))  # one row
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(g, on).drop(*[f"__{k}" for k in keys])
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column], checkpoint) -> DataFrame:
+    """Adds ``place`` (from 1) in a total order of each group and ``group_n``; no group meets in one task."""
+    r = checkpoint(running(df, [*map(F.col, keys), *order], {"__at": F.lit(1)}, checkpoint))
+    t = totals_beside(r, keys, __first=F.min("__at"), group_n=F.count("*"))
+    return t.withColumn("place", F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
+
+
 def stratified(df: DataFrame, stratum: str, id_col: str, quota: int, seed: int) -> DataFrame:
     """At most ``quota`` rows per stratum, in hash order."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(id_col, seed), id_col))).where(F.col("place") <= quota)

@@ -24,16 +24,25 @@ def postings(docs: DataFrame, id_col: str, toks: Column, terms: list[str] | None
     return d.select(id_col, F.size("toks").alias("dl"), F.explode(hits).alias("h")).select(id_col, "dl", "h.term", "h.tf")
 
 
-def bm25(docs: DataFrame, id_col: str, toks: Column, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of texts with any of the query's words, by BM25."""
+def bm25(docs: DataFrame, id_col: str, toks: Column, query: str, checkpoint=lambda d: d, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of texts with any of the query's words, by BM25.
+
+    ``checkpoint`` may stage the lengths and counts, a few numbers a text, so
+    that texts are cut into words once for the corpus figures and the scores.
+    """
     terms = list(dict.fromkeys(re.findall("[a-z0-9]+", fold_py(query))))
-    size = docs.select(F.size(toks).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_dl"))
-    p = postings(docs, id_col, toks, terms)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    j = p.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # a row per query word; one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return j.groupBy(id_col).agg(F.sum(part).alias("score"))
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score")).where("false")
+    words = F.col("toks")
+    times = lambda t: F.size(F.filter(words, lambda x: x == t))
+    found = F.array(*map(times, terms))
+    # every text has its one pass over its words here
+    d = checkpoint(docs.select(id_col, toks.alias("toks")).select(id_col, F.size(words).alias("dl"), found.alias("tf")))
+    size = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
+    j = d.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(size))  # one row
+    idf = lambda n: F.log(1 + (F.col("n_docs") - n + 0.5) / (n + 0.5))
+    part = lambda tf, n: idf(n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    return j.select(id_col, F.aggregate(F.zip_with("tf", "df", part), F.lit(0.0), lambda x, y: x + y).alias("score"))
 
 
 def prevalence_score(base: Column, n: Column, attested: Column) -> Column:

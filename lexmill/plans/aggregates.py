@@ -158,7 +158,7 @@ def a18(spark, sf):
 
 @query("a19_calibration_deciles", f"WITH r AS (SELECT *, count(*) OVER (PARTITION BY lang) AS group_n, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS rn FROM {SCORED}) SELECT lang, ceil(10.0 * rn / group_n)::INT AS slice, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(quality), 6) AS hit_rate FROM r WHERE group_n >= 10 GROUP BY 1, 2")
 def a19(spark, sf):
-    d = agg.rank_slices(scored(spark, sf), [F.col("score"), F.col("doc_id")], ["lang"])
+    d = agg.rank_slices(scored(spark, sf), [F.col("score"), F.col("doc_id")], ["lang"], stage)
     return d.groupBy("lang", "slice").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("quality"), 6).alias("hit_rate"))
 
 
@@ -205,11 +205,7 @@ def a25(spark, sf):
 
 @query("a26_upper_median_stats", "WITH s AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v FROM orders WHERE o_totalprice > 0 GROUP BY 1) SELECT o_orderpriority, len(v) AS n, v[1] AS least, v[-1] AS most, v[len(v) // 2 + 1] AS median FROM s")
 def a26(spark, sf):
-    # the element at n div 2 is the exact rank n div 2 + 1: found by rank, not by collecting values
-    d = table(spark, sf, "orders").where("o_totalprice > 0")
-    w = Window.partitionBy("o_orderpriority")
-    r = d.select("o_orderpriority", "o_totalprice", F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count("*").over(w).alias("c"))
-    return r.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"), F.max(F.when(F.col("r") == F.floor(F.col("c") / 2) + 1, F.col("o_totalprice"))).alias("median"))
+    return agg.upper_medians(table(spark, sf, "orders").where("o_totalprice > 0"), ["o_orderpriority"], "o_totalprice", "o_orderkey", stage)
 
 
 @query("a27_rolling_median_health", """WITH d AS (SELECT event_type, ts::DATE AS day, isodow(ts::DATE) < 6 AS weekday, count(*) AS n FROM events GROUP BY 1, 2, 3),
@@ -281,7 +277,7 @@ def a33(spark, sf):
 
 @query("a34_ks", f"WITH v AS (SELECT lang, score, sum((quality = 1)::INT) AS a, sum((quality = 0)::INT) AS b FROM {SCORED} GROUP BY 1, 2), g AS (SELECT lang, a, b, abs(sum(a) OVER (PARTITION BY lang ORDER BY score) / nullif(sum(a) OVER (PARTITION BY lang), 0) - sum(b) OVER (PARTITION BY lang ORDER BY score) / nullif(sum(b) OVER (PARTITION BY lang), 0)) AS gap FROM v) SELECT lang, round(max(gap), 6) AS ks, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b FROM g GROUP BY 1")
 def a34(spark, sf):
-    return agg.kolmogorov_smirnov(scored(spark, sf).withColumn("good", F.col("quality") == 1), "score", "good", ["lang"])
+    return agg.kolmogorov_smirnov(scored(spark, sf).withColumn("good", F.col("quality") == 1), "score", "good", ["lang"], stage)
 
 
 @query("a35_auc", f"WITH o AS (SELECT quality AS y, sum(quality) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS tp FROM {SCORED}) SELECT round(sum(CASE WHEN y = 0 THEN tp END) / (sum(y) * sum(1 - y)), 6) AS auc FROM o")

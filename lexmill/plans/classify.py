@@ -248,7 +248,7 @@ def c12(spark, sf):
 
 @query("c12_court_agreement", f"WITH s AS (SELECT lang AS court, * FROM {SHADOW} UNION ALL SELECT NULL, * FROM {SHADOW}), v AS (SELECT court, score AS v, 1 AS a, 0 AS b FROM s WHERE score IS NOT NULL UNION ALL SELECT court, other, 0, 1 FROM s), p AS (SELECT court, v, sum(a) AS a, sum(b) AS b FROM v GROUP BY 1, 2), k AS (SELECT court, abs(sum(a) OVER (PARTITION BY court ORDER BY v) / sum(a) OVER (PARTITION BY court) - sum(b) OVER (PARTITION BY court ORDER BY v) / sum(b) OVER (PARTITION BY court)) AS gap FROM p), m AS (SELECT court, round(max(gap), 6) AS ks FROM k GROUP BY 1) SELECT s.court, count(*) AS total, count(*) FILTER (WHERE category <> shadow_category) AS disagreements, round(1 - count(*) FILTER (WHERE category <> shadow_category) / count(*), 6) AS agreement, any_value(ks) AS ks FROM s JOIN m ON s.court IS NOT DISTINCT FROM m.court GROUP BY 1")
 def c12_courts(spark, sf):
-    return cl.court_agreement(shadow(spark, sf))
+    return cl.court_agreement(stage(shadow(spark, sf)), stage)
 
 
 @query("c12_widest_disagreements", f"SELECT doc_id, category, shadow_category, round(other - score, 6) AS delta FROM {SHADOW} WHERE category <> shadow_category AND score IS NOT NULL ORDER BY abs(other - score) DESC, doc_id LIMIT 50")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text
-from lexmill.io import table
+from lexmill.io import stage, table
 from lexmill.operators import search
 from lexmill.plans.base import query
 
@@ -47,7 +47,7 @@ p AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term))
 q AS (SELECT *, count(*) FILTER (WHERE tf > 0) OVER (PARTITION BY term) AS df FROM p)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM q, s WHERE tf > 0 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 40""")
 def t10(spark, sf):
-    s = search.bm25(docs(spark, sf), "doc_id", F.col("toks"), "Apache license, version")
+    s = search.bm25(docs(spark, sf), "doc_id", F.col("toks"), "Apache license, version", stage)
     return s.select("doc_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
 
 

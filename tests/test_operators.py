@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import dates, ids, numbers, text
-from lexmill.io import scratch
+from lexmill.io import scratch, stage
 from lexmill.operators import aggregates as agg
 from lexmill.operators import classify, entities, filters, merge, relational, search
 from lexmill.sources import files
@@ -23,7 +23,7 @@ def test_unknown_is_not_zero(spark):
 @pytest.mark.parametrize("n", [0, 9, 10, 13, 100, 333])
 def test_rank_slices(spark, n):
     rows = [(i,) for i in range(n)]
-    got = [r.slice for r in agg.rank_slices(spark.createDataFrame(rows, "v int"), [F.col("v")], []).orderBy("v").collect()]
+    got = [r.slice for r in agg.rank_slices(spark.createDataFrame(rows, "v int"), [F.col("v")], [], stage).orderBy("v").collect()]
     assert got == ([] if n < 10 else [-(-10 * (i + 1) // n) for i in range(n)])
 
 
@@ -365,3 +365,21 @@ def test_cursors_of_rows_are_read_back(spark):
     d = spark.createDataFrame([(1, 2.5, "a?>"), (2, None, 'é"')], "id long, v double, s string")
     got = [relational.decode_cursor(r[0], "-v,id") for r in d.select(relational.cursor_of([F.col("v"), F.col("s"), F.col("id")], "-v,id")).collect()]
     assert got == [[2.5, "a?>", 1], [None, 'é"', 2]]
+
+
+def test_places_medians_and_distances_in_groups(spark):
+    import statistics
+
+    rows = [(("a", "b", None)[i % 3] if i < 90 else "a", float(i * 37 % 50), i) for i in range(120)]
+    d = spark.createDataFrame(rows, "k string, v double, id int")
+    places = {r.id: (r.place, r.group_n) for r in relational.placed(d, ["k"], [F.col("v"), F.col("id")], stage).collect()}
+    for k in ("a", "b", None):
+        own = sorted((v, i) for g, v, i in rows if g == k)
+        assert [places[i] for _, i in own] == [(n + 1, len(own)) for n in range(len(own))]
+    got = {r.k: r.median for r in agg.upper_medians(d, ["k"], "v", "id", stage).collect()}
+    assert got == {k: statistics.median_high(v for g, v, _ in rows if g == k) for k in ("a", "b", None)}
+    ks = {r.k: r.ks for r in agg.kolmogorov_smirnov(d.withColumn("s", F.col("id") % 2 == 0), "v", "s", ["k"], stage).collect()}
+    for k in ks:
+        x, y = ([v for g, v, i in rows if g == k and i % 2 == m] for m in (0, 1))
+        assert ks[k] == round(max(abs(sum(a <= t for a in x) / len(x) - sum(a <= t for a in y) / len(y)) for t in {*x, *y}), 6)
+    assert agg.upper_medians(d.where("false"), ["k"], "v", "id", stage).count() == 0
