@@ -237,3 +237,17 @@ def near_dedup(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: s
 
 def op9_near_dedup(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents"), Workspace(spark)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# All pairs that share a shingle, on full sets, and every id that reaches a document through links.
+OP9_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, c.root FROM c JOIN e ON e.x = c.doc_id WHERE c.root < e.y),
+m AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY 1)
+SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""

@@ -23,4 +23,5 @@ SQL = {
     "op3_license_scan": licenses.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_mixing": mix.OP6_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
 }
