@@ -48,6 +48,32 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], version: str)
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "__b")).alias("r")).select(*keys, "r.*")
 
 
+def summarised(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, n, first, last): rows and their earliest and latest moment; a null moment counts as a row only."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def kept_in_step(summary: DataFrame, rows: DataFrame, inserted: DataFrame, deleted: DataFrame, key: str, at: str) -> DataFrame:
+    """The summary after a batch of inserts and deletes; ``rows`` are the rows after both.
+
+    Counts are added and subtracted and new extremes taken in; rows are only
+    read again for keys that lost their first or last moment. Keys without
+    rows go; a null key is a key.
+    """
+    of = lambda d, p: summarised(d, key, at).select(F.col(key).alias(f"{p}_key"), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "first", "last")])
+    base = summary.select(F.col(key).alias("s_key"), *[F.col(c).alias(f"s_{c}") for c in ("n", "first", "last")])
+    j = base.join(of(inserted, "i"), F.col("s_key").eqNullSafe(F.col("i_key")) & F.col("s_n").isNotNull(), "full")
+    j = j.withColumn(key, F.when(F.col("s_n").isNotNull(), F.col("s_key")).otherwise(F.col("i_key")))
+    j = j.join(of(deleted, "d"), F.col(key).eqNullSafe(F.col("d_key")), "left")
+    n = F.coalesce("s_n", F.lit(0)) + F.coalesce("i_n", F.lit(0)) - F.coalesce("d_n", F.lit(0))
+    first, last = F.least("s_first", "i_first"), F.greatest("s_last", "i_last")
+    lost = F.coalesce((F.col("d_first") <= first) | (F.col("d_last") >= last), F.lit(False))
+    d = j.select(key, n.alias("n"), first.alias("first"), last.alias("last"), lost.alias("lost")).where("n > 0")
+    again = d.where("lost").select(F.col(key).alias("__k"))
+    fresh = summarised(rows.join(again, F.col(key).eqNullSafe(F.col("__k")), "left_semi"), key, at)
+    return d.where("NOT lost").drop("lost").unionByName(fresh)
+
+
 def fill_gaps(current: DataFrame, batch: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns that are null or empty in current take the batch's value; all else stays."""
     b = batch.select(key, *[F.col(c).alias(f"__{c}") for c in columns])

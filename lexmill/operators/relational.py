@@ -70,6 +70,12 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], checkpoint) -> D
     return t.withColumn("place", F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
 
 
+def keyset_batches(df: DataFrame, key: str, size: int, checkpoint) -> DataFrame:
+    """(batch, first, last, n): where batches of ``size`` rows in order of a unique key begin and end, found without reading one after another."""
+    batch = F.floor((F.col("place") - 1) / size).alias("batch")
+    return placed(df.select(key), [], [F.col(key)], checkpoint).groupBy(batch).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
+
+
 def stratified(df: DataFrame, stratum: str, id_col: str, quota: int, seed: int) -> DataFrame:
     """At most ``quota`` rows per stratum, in hash order."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(id_col, seed), id_col))).where(F.col("place") <= quota)

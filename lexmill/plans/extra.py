@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import ids, text
-from lexmill.io import scratch, table
+from lexmill.io import scratch, stage, table
+from lexmill.operators import merge
+from lexmill.operators import relational as rel
 from lexmill.plans.base import query
 from lexmill.plans.functions import CPFS, NUMBERED, documents_of, names, numbered
 
@@ -72,10 +74,9 @@ def f80(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_linestatus", F.when(F.col("l_linestatus") == "F", "registry").otherwise("gazette").alias("source")).agg(F.count("*").alias("n"))
 
 
-@query("s03_keyset_scan", "SELECT event_id FROM events WHERE event_id >= 500 AND event_id < 2500")
+@query("s03_keyset_scan", "SELECT (r - 1) // 1000 AS batch, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events) GROUP BY 1")
 def s03(spark, sf):
-    # keyset batches are one range scan here: the bounds reach the files' statistics
-    return table(spark, sf, "events").where("event_id >= 500 AND event_id < 2500").select("event_id")
+    return rel.keyset_batches(table(spark, sf, "events"), "event_id", 1000, stage)
 
 
 @query("s04_chunked_export", "SELECT s_suppkey FROM supplier")
@@ -123,6 +124,14 @@ def u08(spark, sf):
     return u.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
 
 
+@query("x07_summary_in_step", "SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 <> 0 GROUP BY 1")
+def x07(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    before, inserted, deleted = o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 = 0"), o.where("o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0")
+    after = o.where("o_orderkey % 10 = 0 OR o_orderkey % 7 <> 0")
+    return merge.kept_in_step(stage(merge.summarised(before, "o_custkey", "o_orderdate")), after, inserted, deleted, "o_custkey", "o_orderdate")
+
+
 @query("m10_claimed_partitions", "SELECT (o_orderkey % 8)::INT AS worker, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def m10(spark, sf):
     # work is claimed by partition: each row belongs to one task

@@ -383,3 +383,23 @@ def test_places_medians_and_distances_in_groups(spark):
         x, y = ([v for g, v, i in rows if g == k and i % 2 == m] for m in (0, 1))
         assert ks[k] == round(max(abs(sum(a <= t for a in x) / len(x) - sum(a <= t for a in y) / len(y)) for t in {*x, *y}), 6)
     assert agg.upper_medians(d.where("false"), ["k"], "v", "id", stage).count() == 0
+
+
+def test_a_summary_stays_in_step(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, at int")
+    before = [("a", 1), ("a", 5), ("a", 9), ("b", 2), (None, 3), (None, 8), ("c", 4), ("d", None)]
+    inserted, deleted = [("a", 7), ("e", 1), (None, 9), ("b", 1)], [("a", 9), ("c", 4), (None, 3), ("d", None)]
+    after = [*before, *inserted]
+    for r in deleted:
+        after.remove(r)
+    got = merge.kept_in_step(merge.summarised(frame(before), "k", "at"), frame(after), frame(inserted), frame(deleted), "k", "at").collect()
+    want = merge.summarised(frame(after), "k", "at").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
+    none = frame([])
+    assert merge.kept_in_step(merge.summarised(none, "k", "at"), frame(inserted), frame(inserted), none, "k", "at").count() == 4
+
+
+def test_keyset_batches(spark):
+    d = spark.createDataFrame([(i * 3,) for i in range(25)], "id int")
+    assert sorted(tuple(r) for r in relational.keyset_batches(d, "id", 10, stage).collect()) == [(0, 0, 27, 10), (1, 30, 57, 10), (2, 60, 72, 5)]
+    assert relational.keyset_batches(d.where("false"), "id", 10, stage).count() == 0
