@@ -23,6 +23,11 @@ def parse_moment(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in FORMATS])
 
 
+def second_diff(start: Column, end: Column) -> Column:
+    """Whole seconds between two timestamps, each cut to its second first, as ``date_diff`` of SQL counts them."""
+    return F.timestamp_diff("SECOND", F.date_trunc("second", start), F.date_trunc("second", end))
+
+
 def parse_day_br(c: Column) -> Column:
     """dd/mm/yyyy, or the date of yyyymmddhhmmss, else null."""
     a = F.when(c.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_timestamp(c, F.lit("dd/MM/yyyy")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import dates
 from lexmill.io import stage, table
 from lexmill.operators import aggregates as agg
 from lexmill.plans.base import query
@@ -463,7 +464,7 @@ def a58(spark, sf):
 def a59(spark, sf):
     e = table(spark, sf, "events")
     last = e.groupBy("user_id").agg(F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id")).alias("x"))
-    d = last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("t")))).select("user_id", "x.event_type", F.timestamp_diff("SECOND", F.col("x.ts"), F.col("t")).alias("lag"))  # one row
+    d = last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("t")))).select("user_id", "x.event_type", dates.second_diff(F.col("x.ts"), F.col("t")).alias("lag"))  # one row
     return d.select("user_id", "event_type", F.floor(F.col("lag") / 3600).alias("lag_hours"), ((F.col("lag") > 36 * 3600) | (F.col("event_type") == "error")).alias("unhealthy"))
 
 
